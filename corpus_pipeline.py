@@ -5,11 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weightscope.llm import bpe, decontaminate, quality, simhash
+from weightscope.llm import bpe, decontaminate, pii, quality, simhash
 from weightscope.llm.common import new_path
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -27,6 +25,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return pii.redact(docs)
+
+
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the digests of the round trip."""
     return bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -36,6 +39,7 @@ STAGES = [
     ("quality rules", quality_rules),
     ("near-duplicates", near_dedup),
     ("decontamination", decontamination),
+    ("personal data", personal_data),
     ("byte-level BPE", byte_bpe),
 ]
 
