@@ -8,9 +8,11 @@ content, and appended to it.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,15 +51,27 @@ def version_digest(path: str, kind: str) -> bytes:
     return hashlib.sha256(data + f"\n{library}\n{kind}".encode()).digest()
 
 
+def _count_words(library, words: list[str], group: int = 256) -> list[int]:
+    """Tokens of each word, from the offsets of tokens in the words of a group on lines of their own."""
+    out: list[int] = []
+    for i in range(0, len(words), group):
+        part = words[i : i + group]
+        begins = [o[0] for o in library.encode("\n".join(part), add_special_tokens=False).offsets]
+        starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+        out += np.bincount(np.searchsorted(starts, np.array(begins, np.int64), "right") - 1, minlength=len(part)).tolist()
+    return out
+
+
 @lru_cache(maxsize=2)
 def _word_counts(data: bytes, is_json: bool) -> Memo:
     if is_json:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would fight over it
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_str(data.decode())
         library.no_truncation()
         library.no_padding()
-        return Memo(lambda words: [len(x.ids) for x in library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)])
+        return Memo(lambda words: _count_words(library, [w.decode() for w in words]))
     import sentencepiece
 
     piece = sentencepiece.SentencePieceProcessor(model_proto=data)
