@@ -176,10 +176,10 @@ def judge(docs: DataFrame, model_path: str, languages: dict[str, Band] = LANGUAG
         for part in pieces(texts):
             own = [texts[i] for i in part]
             words, base = base_features(own)
-            memo.learn(w for x in words for w in x)
+            memo.learn([w for x in words for w in x])
             for k, i in enumerate(part):
                 n_words, chars, symbols, dup, repeat = base[:, k].tolist()
-                ids = np.frombuffer(b"".join(map(memo.__getitem__, words[k])), kind)
+                ids = np.frombuffer(b"".join(map(memo.known.__getitem__, words[k])), kind)
                 tokens, failed = len(ids), n_words < 20 or 100 * repeat > 30 * n_words
                 row = {"n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "base_failed": failed, "n_tokens": tokens}
                 entropy, fallback = 0.0, 0

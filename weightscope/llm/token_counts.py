@@ -83,10 +83,10 @@ def _count(text: str, memo: Memo, by_words: bool) -> int:
         return memo.fill([text])[0]
     words = text.encode().split()
     try:
-        return sum(map(memo.__getitem__, words))
+        return sum(map(memo.known.__getitem__, words))
     except KeyError:
         memo.learn(words)
-        return sum(map(memo.__getitem__, words))
+        return sum(map(memo.known.__getitem__, words))
 
 
 def token_counts(
