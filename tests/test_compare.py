@@ -1,9 +1,11 @@
 """Comparisons of real containers."""
 
+import json
+
 import pytest
 from make import f32, gguf, layered, safetensors
 
-from weightscope import api
+from weightscope import api, cli
 
 
 def ids(c):
@@ -17,6 +19,13 @@ def test_identity(spark, tmp_path):
     assert c.doc["summary"] == {"matched": 6, "identical_fraction": 1.0, "structural": 0, "worst_drift": 0.0}
 
 
+def test_command_line(spark, tmp_path, capsys):
+    a = layered(tmp_path / "a.safetensors", scale={3: 4.0})
+    b = layered(tmp_path / "b.safetensors")
+    assert cli.main(["compare", a, b, "--json", "--svg", str(tmp_path / "x.svg")], spark) == 1
+    assert json.loads(capsys.readouterr().out)["arch"]["match"] and (tmp_path / "x.svg").read_text().startswith("<svg")
+
+
 def test_one_scaled_layer(spark, tmp_path):
     c = api.compare(spark, layered(tmp_path / "s.safetensors", scale={3: 4.0}), layered(tmp_path / "b.safetensors"))
     odd = [p["layer"] for p in c.doc["layer_drift"] if p["anomaly"]]
