@@ -163,17 +163,17 @@ def _encode_misses(texts: DataFrame, had: DataFrame, vocabulary: str, version: b
             yield batch.take(pa.array(new, pa.int64()))
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, before = _word_counts(data, is_json), None
+        memo, done = _word_counts(data, is_json), set()
         for batch in batches:
             rows = []
             for key, text in zip(batch.column("content").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if key != before:
+                if key not in done:  # several tasks may have met a content first; they all send it here
                     rows.append((key, _count(text, memo, kind == "spaces")))
-                    before = key
+                    done.add(key)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.binary()), pa.array([version] * len(rows), pa.binary()), pa.array([r[1] for r in rows], pa.int64())],
                 ["content", "version", "n_tokens"],
             )
 
     missing = texts.mapInArrow(once, "content binary, text string").join(had, "content", "left_anti")
-    return missing.repartition("content").sortWithinPartitions("content").mapInArrow(encode, CACHE)
+    return missing.repartition("content").mapInArrow(encode, CACHE)
