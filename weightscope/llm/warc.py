@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weightscope.llm.common import new_path
+from weightscope.llm.common import new_path, stored
 
 CRLF = "\r\n"
 #: Payloads of so many bytes at least are stored once.
@@ -61,11 +61,11 @@ def write_archives(pages: DataFrame, path: str | None = None, shared: int = SHAR
 
     Null html is an empty payload; a null url is left out; rows that repeat are
     captures of their own. All is made and written by the executors, through
-    Spark's committer, as gzipped files of about a shuffle partition's size.
+    Spark's committer, as gzipped files, each of one partition of the join.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
-    rows = with_roles(pages, shared).hint("rebalance")
+    rows = with_roles(pages, shared)
     uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     revisit = F.col("refers_to").isNotNull()
     response_id = F.when(revisit, _urn("revisit", F.col("page_id"), F.col("seq"))).otherwise(_urn("response", F.col("page_id"), F.col("seq")))
@@ -245,7 +245,7 @@ def round_trip(pages: DataFrame, shared: int = SHARED_BYTES) -> DataFrame:
     """
     spark = pages.sparkSession
     path = write_archives(pages, shared=shared)
-    return resolve(assemble(read_archives(spark, path)))
+    return resolve(assemble(stored(read_archives(spark, path), "records")))
 
 
 ORACLE = f"""
