@@ -13,6 +13,8 @@ exactly over all 64 bits.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -187,12 +189,23 @@ def links(uniq: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, leaf:
     cells = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.when(F.col("home"), F.least(j, mine) * chunks + F.greatest(j, mine)).otherwise(j * chunks + j))
     dealt = routed.select("shard", "fp", "home", F.explode(cells).alias("cell"))
 
-    def link(table: pa.Table) -> pa.Table:
-        fps, home = table.column("fp").to_numpy().view(np.uint64), table.column("home").to_numpy()
-        found = np.array(link_locally(fps[home], fps[~home], distance), np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.table({"a": found[:, 0], "b": found[:, 1]})
-
-    return dealt.groupBy("shard", "cell").applyInArrow(link, "a long, b long")
+    def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All cells of a partition, a few dozen bytes a row, one after the other."""
+        columns = [[b.column(c).to_numpy(zero_copy_only=False) for b in parts] for parts in [list(batches)] for c in ("key", "fp", "home")]
+        if not columns[0]:
+            return
+        key, fps, home = (np.concatenate(c) for c in columns)
+        order = np.argsort(key, kind="stable")
+        fps, home = fps[order].view(np.uint64), home[order].astype(bool)
+        edges = np.flatnonzero(np.diff(key[order], prepend=-1, append=-1))
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            own, at_home = fps[lo:hi], home[lo:hi]
+            found = np.array(link_locally(own[at_home], own[~at_home], distance), np.uint64).reshape(-1, 2).view(np.int64)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    keyed = dealt.select((F.shiftleft("shard", 20) + F.col("cell")).alias("key"), "fp", "home")
+    return keyed.repartition("key").mapInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
