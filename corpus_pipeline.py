@@ -11,8 +11,9 @@ from weightscope.llm.common import new_path
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality.judge(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return judged.where("quality.kept").select(*docs.columns)
+    own = docs.withColumnRenamed("quality", "_quality")  # a column of that name is theirs, and stays
+    judged = quality.judge(own, public_tokenizers.path("piece_bpe_32k.model"))
+    return judged.where("quality.kept").select(*own.columns).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

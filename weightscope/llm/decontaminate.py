@@ -208,10 +208,11 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     From one that stays, each run of hit words is cut with what stands between
     them. Rows, columns and their order are else as in ``docs``.
     """
-    found = find_leaks(docs, benchmark, n, block_bytes)
+    own = docs.withColumnRenamed("leak", "_leak")  # a column of that name is theirs, and stays
+    found = find_leaks(own, benchmark, n, block_bytes)
     n_hit = F.aggregate("leak.hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     kept = found.where((F.size("leak.hits") == 0) | (share * n_hit < F.col("leak.n_words")))
-    place, names = docs.columns.index("text"), docs.columns
+    place, names = own.columns.index("text"), own.columns
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(place).to_pylist()
@@ -222,7 +223,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
         columns[place] = pa.array(texts, pa.string())
         return pa.RecordBatch.from_arrays(columns, names)
 
-    return map_batches(kept, cut, docs.schema)
+    return map_batches(kept, cut, own.schema).toDF(*docs.columns)
 
 
 def cut_words(text: str, runs: list[tuple[int, int]]) -> str:

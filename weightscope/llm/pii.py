@@ -219,11 +219,12 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     takes the first one's kind. Columns and rows are else as they were, a null
     text stays null.
     """
-    found = detect(docs, model)
+    own = docs.withColumnRenamed("spans", "_spans")  # a column of that name is theirs, and stays
+    found = detect(own, model)
     text = F.expr(
         """aggregate(spans, struct(0 AS at, CAST('' AS string) AS out),
              (a, s) -> CASE WHEN s.start < a.at THEN struct(greatest(a.at, s.end) AS at, a.out AS out)
                             ELSE struct(s.end AS at, concat(a.out, substring(text, a.at + 1, s.start - a.at), '[', upper(s.kind), ']') AS out) END,
              a -> concat(a.out, substring(text, a.at + 1)))"""
     )
-    return found.withColumn("text", F.when(F.size("spans") == 0, F.col("text")).otherwise(text)).select(*docs.columns)
+    return found.withColumn("text", F.when(F.size("spans") == 0, F.col("text")).otherwise(text)).select(*own.columns).toDF(*docs.columns)

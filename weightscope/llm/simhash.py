@@ -242,9 +242,11 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) ->
     """
     found = near_duplicates(docs, distance, blocks)
     keep = found.where("doc_id <=> component_id").groupBy("doc_id", "fp").count().select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"))
+    names = docs.columns
+    docs = docs.withColumnRenamed("fp", "_fp_kept")  # a column of that name is theirs, and stays
     marked = fingerprints(docs).withColumnRenamed("fp", "_own")
     same = marked.join(keep, (F.col("_own") == F.col("_fp")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi").drop("_own")
     from pyspark.sql import Window
 
     order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
-    return same.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return same.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n").toDF(*names)
