@@ -37,7 +37,8 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _r(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(F.col(n), 6) for n in names})
+    """Numbers to six decimals, without negative zeros."""
+    return df.withColumns({n: F.round(F.col(n), 6) + F.lit(0.0) for n in names})
 
 
 # ---------------------------------------------------------------- tensors
@@ -62,7 +63,7 @@ _STATS = """, a AS (SELECT name, any_value(label) AS label, count(*) AS element_
 
 
 @query(
-    f"WITH {_V}{_STATS} SELECT name, element_count, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("mean", "std", "min", "max", "max_abs", "l2_norm", "rms", "kurtosis", "sparsity")) + " FROM a"
+    f"WITH {_V}{_STATS} SELECT name, element_count, " + ", ".join(f"round({c}, 6) + 0 AS {c}" for c in ("mean", "std", "min", "max", "max_abs", "l2_norm", "rms", "kurtosis", "sparsity")) + " FROM a"
 )
 def tensor_stats(spark, d):
     """Statistics of every tensor."""
@@ -72,7 +73,7 @@ def tensor_stats(spark, d):
 
 @query(
     f"WITH {_V}, w AS (SELECT name, CASE WHEN pos = 0 AND vec_id % 5 = 0 THEN value * 100 ELSE value END AS value FROM v), a AS (SELECT name, stddev_pop(value) AS std FROM w GROUP BY name) "
-    "SELECT name, round(avg(CASE WHEN std > 0 AND abs(value) > 6 * std THEN 1.0 ELSE 0.0 END), 6) AS outlier_mass FROM w JOIN a USING (name) GROUP BY name"
+    "SELECT name, round(avg(CASE WHEN std > 0 AND abs(value) > 6 * std THEN 1.0 ELSE 0.0 END), 6) + 0 AS outlier_mass FROM w JOIN a USING (name) GROUP BY name"
 )
 def outlier_mass(spark, d):
     """Share of values beyond six standard deviations, in a second pass."""
@@ -85,7 +86,7 @@ _SPOILT = "CASE WHEN (vec_id + pos) % 97 = 0 THEN 'NaN'::DOUBLE WHEN (vec_id + p
 
 @query(
     f"WITH {_V}, s AS (SELECT name, {_SPOILT} AS x FROM v) SELECT name, count(*) FILTER (isnan(x)) AS nan_count, count(*) FILTER (isinf(x)) AS inf_count, "
-    "round(count(*) FILTER (x = 0) / count(*), 6) AS sparsity, round(max(x) FILTER (isfinite(x)), 6) AS max, count(*) FILTER (isnan(x)) + count(*) FILTER (isinf(x)) > 0 AS weight_nan_inf FROM s GROUP BY name"
+    "round(count(*) FILTER (x = 0) / count(*), 6) + 0 AS sparsity, round(max(x) FILTER (isfinite(x)), 6) + 0 AS max, count(*) FILTER (isnan(x)) + count(*) FILTER (isinf(x)) > 0 AS weight_nan_inf FROM s GROUP BY name"
 )
 def sparsity_nan_inf(spark, d):
     """Spoilt tensors."""
@@ -94,7 +95,7 @@ def sparsity_nan_inf(spark, d):
 
 
 @query(
-    f"WITH {_V}, p AS (SELECT name, (vec_id + pos) % 4 AS part, value FROM v) SELECT name, count(*) AS n, round(avg(value), 6) AS mean, round(var_pop(value) * count(*), 6) AS m2, round(coalesce(kurtosis_pop(value), 0), 6) AS kurtosis FROM p GROUP BY name"
+    f"WITH {_V}, p AS (SELECT name, (vec_id + pos) % 4 AS part, value FROM v) SELECT name, count(*) AS n, round(avg(value), 6) + 0 AS mean, round(var_pop(value) * count(*), 6) + 0 AS m2, round(coalesce(kurtosis_pop(value), 0), 6) + 0 AS kurtosis FROM p GROUP BY name"
 )
 def merged_moments(spark, d):
     """Moments of four parts of each tensor, merged."""
@@ -107,7 +108,7 @@ _PROFILE = """, l AS (SELECT label AS layer, sqrt(sum(l2_norm * l2_norm)) AS l2,
   sum(sparsity * element_count) / sum(element_count) AS sparsity FROM a GROUP BY label)"""
 
 
-@query(f"WITH {_V}{_STATS}{_PROFILE} SELECT layer::BIGINT AS layer, round(l2, 6) AS l2, round(mean_kurtosis, 6) AS mean_kurtosis, round(max_abs, 6) AS max_abs, params::BIGINT AS params, round(sparsity, 6) AS sparsity FROM l")
+@query(f"WITH {_V}{_STATS}{_PROFILE} SELECT layer::BIGINT AS layer, round(l2, 6) + 0 AS l2, round(mean_kurtosis, 6) + 0 AS mean_kurtosis, round(max_abs, 6) + 0 AS max_abs, params::BIGINT AS params, round(sparsity, 6) + 0 AS sparsity FROM l")
 def layer_profile(spark, d):
     """Tensors rolled up to layers."""
     p = stats.layer_profile(stats.tensor_stats(_values(spark, d), ["name"]), [])
@@ -128,7 +129,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY mads DESC, k) AS
 
 @query(
     f"WITH {_V.replace('CAST(embedding[i] AS DOUBLE)', 'CAST(embedding[i] AS DOUBLE) * (CASE WHEN label = 3 THEN 4 ELSE 1 END)')}{_STATS}{_PROFILE}{_LONG} "
-    "SELECT layer::BIGINT AS layer, metric, round(value, 6) AS value, round(mads, 6) AS mads, CASE WHEN mads >= 10 THEN 'medium' ELSE 'low' END AS severity FROM b WHERE rn = 1"
+    "SELECT layer::BIGINT AS layer, metric, round(value, 6) + 0 AS value, round(mads, 6) + 0 AS mads, CASE WHEN mads >= 10 THEN 'medium' ELSE 'low' END AS severity FROM b WHERE rn = 1"
 )
 def mad_anomaly(spark, d):
     """Layers that stand out (one is scaled to)."""
@@ -162,7 +163,7 @@ t AS (SELECT name, any_value(label) AS label, sum(s * b) AS dot, sum((s - b) * (
 _DRIFT = ("cosine", "rel_l2", "changed_frac", "delta_max_abs", "delta_rms", "delta_std", "delta_kurtosis")
 
 
-@query(_PAIRS + ", q AS (SELECT *, dot / (sqrt(ss) * sqrt(bb)) AS cosine, sqrt(diff2) / sqrt(bb) AS rel_l2 FROM t) SELECT name, " + ", ".join(f"round({c}, 6) AS {c}" for c in _DRIFT) + " FROM q")
+@query(_PAIRS + ", q AS (SELECT *, dot / (sqrt(ss) * sqrt(bb)) AS cosine, sqrt(diff2) / sqrt(bb) AS rel_l2 FROM t) SELECT name, " + ", ".join(f"round({c}, 6) + 0 AS {c}" for c in _DRIFT) + " FROM q")
 def tensor_drift(spark, d):
     """D-2, E15: drift of each pair of tensors."""
     return _r(drift.tensor_drift(drift.pair_sums(_pairs(spark, d), ["name"])), *_DRIFT).select("name", *_DRIFT)
@@ -173,7 +174,7 @@ def tensor_drift(spark, d):
     + """, g AS (SELECT label AS layer, sqrt(sum(diff2)) / sqrt(sum(bb)) AS rel FROM t GROUP BY label), m AS (SELECT median(rel) AS med FROM g), e AS (SELECT g.*, med, abs(rel - med) AS dev FROM g, m),
  s AS (SELECT CASE WHEN median(dev) <= 2.220446049250313e-16 THEN avg(dev) ELSE median(dev) END AS mad FROM e),
  top AS (SELECT label AS layer, name AS dominant FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY diff2 DESC, regexp_replace(name, '^model\\.', '')) AS rn FROM t) WHERE rn = 1)
- SELECT layer::BIGINT AS layer, round(rel, 6) AS rel_l2, round((rel - med) / mad, 6) AS mads, CASE WHEN (rel - med) / mad > 5 AND rel > med THEN CASE WHEN rel >= 1 THEN 'high' WHEN rel >= 0.3 THEN 'medium' ELSE 'low' END END AS severity, dominant
+ SELECT layer::BIGINT AS layer, round(rel, 6) + 0 AS rel_l2, round((rel - med) / mad, 6) + 0 AS mads, CASE WHEN (rel - med) / mad > 5 AND rel > med THEN CASE WHEN rel >= 1 THEN 'high' WHEN rel >= 0.3 THEN 'medium' ELSE 'low' END END AS severity, dominant
  FROM e JOIN s ON true JOIN top USING (layer)"""
 )
 def layer_drift(spark, d):
@@ -184,7 +185,7 @@ def layer_drift(spark, d):
 
 @query(
     _PAIRS
-    + ", q AS (SELECT sqrt(diff2) / sqrt(bb) AS rel FROM t) SELECT count(*) AS matched, round(count(*) FILTER (rel < 1e-6) / count(*), 6) AS identical_fraction, (SELECT count(*) FROM embeddings WHERE label = 0) AS structural, round(max(rel), 6) AS worst_drift FROM q"
+    + ", q AS (SELECT sqrt(diff2) / sqrt(bb) AS rel FROM t) SELECT count(*) AS matched, round(count(*) FILTER (rel < 1e-6) / count(*), 6) + 0 AS identical_fraction, (SELECT count(*) FROM embeddings WHERE label = 0) AS structural, round(max(rel), 6) + 0 AS worst_drift FROM q"
 )
 def compare_summary(spark, d):
     """The comparison in one row."""
@@ -436,7 +437,7 @@ def _tokens(spark, d):
 _ENT = """c AS (SELECT id, token, c, count(*) AS k FROM (SELECT id, token, unnest(string_split(token, '')) AS c FROM k) WHERE c <> '' GROUP BY ALL), h AS (SELECT id, token, -sum(k / length(token) * log2(k / length(token))) AS bits FROM c GROUP BY ALL)"""
 
 
-@query(f"WITH {_TOK}, {_ENT} SELECT id, round(bits, 6) AS bits FROM h")
+@query(f"WITH {_TOK}, {_ENT} SELECT id, round(bits, 6) + 0 AS bits FROM h")
 def token_entropy(spark, d):
     """Bits a character."""
     return _tokens(spark, d).select("id", F.round(C.shannon_entropy(F.col("token")), 6).alias("bits"))
