@@ -18,7 +18,7 @@ ARROW_ROWS = 512
 
 #: Entries that a worker's memo of distinct words may hold before it starts
 #: anew. About 100 to 200 bytes an entry.
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
