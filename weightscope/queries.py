@@ -687,5 +687,5 @@ def signature_decision(spark, d):
 @query(f"WITH {_REPORTS} SELECT scan, to_json({{'scan': scan, 'artifacts': list({{'verdict': verdict, 'sev': sev}} ORDER BY verdict, sev)}})::VARCHAR AS report FROM p WHERE scan < 50 GROUP BY scan")
 def report_json(spark, d):
     """Reports as JSON documents."""
-    p = _reports(spark, d).where("scan < 50").groupBy("scan").agg(F.array_sort(F.collect_list(F.struct("verdict", F.col("sev_rank").alias("sev")))).alias("artifacts"))
+    p = _reports(spark, d).groupBy("scan").agg(F.array_sort(F.collect_list(F.struct("verdict", F.col("sev_rank").alias("sev")))).alias("artifacts"))
     return p.select("scan", F.to_json(F.struct("scan", "artifacts")).alias("report"))
