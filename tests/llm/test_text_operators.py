@@ -108,6 +108,22 @@ def test_keep_one(docs, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_keep_one_of_each_component(spark):
+    rng = random.Random(11)
+    prose = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(300))
+    a, b, c, d, e = (prose() for _ in range(5))
+    apart = lambda x, y: (brute_fingerprint(x) ^ brute_fingerprint(y)).bit_count()
+    near = lambda x, n: next(y for y in (f"{x} {w}" for w in WORDS * 9 + [str(i) for i in range(999)]) if apart(x, y) == n)
+    # Ids clash between components; two components have no ids, of which one has near copies with different texts.
+    rows = [(7, a), (7, b), (8, b), (9, near(a, 2)), (7, c), (7, c), (None, d), (None, near(d, 1)), (None, d.upper() + " "), (None, e), (None, a)]
+    docs = spark.createDataFrame([(*r, "theirs", i) for i, r in enumerate(rows)], "doc_id long, text string, root string, at long")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"], r["root"]) for r in kept.collect()]
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(got, key=key) == sorted([(7, a, "theirs"), (7, b, "theirs"), (7, c, "theirs"), (None, min(d, d.upper() + " "), "theirs"), (None, e, "theirs")], key=key)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (5, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}

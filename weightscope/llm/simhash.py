@@ -219,14 +219,19 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
     An empty table gives an empty one. Copies share a fingerprint and take part
     in the search once, however many they are.
     """
+    return _rooted(docs, distance, blocks).select("doc_id", "fp", "component_id")
+
+
+def _rooted(docs: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """What ``near_duplicates`` gives, and ``root``: the fingerprint that stands for the component."""
     made = fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "fp")
     prints = stored(made, "fingerprints")
     uniq = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(stored(links(uniq, distance, blocks), "links")).withColumnRenamed("node", "fp")
     rooted = uniq.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(names, "root").select("fp", "component_id", "root")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def hex_digits(fp) -> object:
@@ -237,16 +242,18 @@ def hex_digits(fp) -> object:
 def keep_one(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """``docs`` with one document of each component, the one of least doc_id.
 
-    Of rows with that same doc_id one stays, the least text first. Where all
-    doc_ids of a component are null, one of its rows stays likewise.
+    Of a component's rows with that same doc_id one stays, the least text
+    first. Where all doc_ids of a component are null, one of its rows stays
+    likewise. Components that share a doc_id keep a row each.
     """
-    found = near_duplicates(docs, distance, blocks)
-    keep = found.where("doc_id <=> component_id").groupBy("doc_id", "fp").count().select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"))
+    found = _rooted(docs, distance, blocks)
+    least = found.where("doc_id <=> component_id").groupBy("doc_id", "fp", "root").count()
+    keep = least.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), F.col("root").alias("_root"))
     names = docs.columns
     docs = docs.withColumnRenamed("fp", "_fp_kept")  # a column of that name is theirs, and stays
     marked = fingerprints(docs).withColumnRenamed("fp", "_own")
-    same = marked.join(keep, (F.col("_own") == F.col("_fp")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi").drop("_own")
+    same = marked.join(keep, (F.col("_own") == F.col("_fp")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).drop("_own", "_id", "_fp")
     from pyspark.sql import Window
 
-    order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
-    return same.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n").toDF(*names)
+    order = Window.partitionBy("_root").orderBy("text")
+    return same.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_root").toDF(*names)
