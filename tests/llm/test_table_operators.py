@@ -25,6 +25,22 @@ def test_articles(main):
     assert html_extract.main_text(PAGE.format(main=main.format(BODY))) == TEXT
 
 
+LONG = "<p>" + "some words, of a text, that goes on, " * 8 + "</p>"
+LONG_TEXT = ("some words, of a text, that goes on, " * 8).strip()
+
+
+@pytest.mark.parametrize("n", [3, 8])
+def test_titles_stay(n):
+    page = f"<article><header><h1>T</h1></header><div class='entry-content'>{LONG * n}</div></article>"
+    assert html_extract.main_text(page) == "\n\n".join(["T"] + [LONG_TEXT] * n)
+
+
+def test_siblings_stay():
+    links = "<ul>" + "<li><a href='/x'>Another page here</a></li>" * 9 + "</ul>"
+    page = f"<body><nav>N</nav><h1><a href='/'>T</a></h1><div><section>{LONG * 6}</section><h2>H</h2><p>Short.</p><ul><li>item</ul><blockquote>Q</blockquote>loose <b>text</b><table><tr><td>cell</table><section><p>End.</p></section>{links}</div><footer>F</footer>"
+    assert html_extract.main_text(page) == "\n\n".join(["T", *[LONG_TEXT] * 6, "H", "Short.", "item", "Q", "loose text", "cell", "End."])
+
+
 def test_odd_pages(spark):
     assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<nav>x</nav>") == ""
     assert html_extract.main_text("plain &lt;text&gt;") == "plain <text>"

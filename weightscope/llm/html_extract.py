@@ -2,8 +2,9 @@
 
 Paragraphs pass points for their length and commas to the elements that hold
 them, less for each level up; an element's points are discounted by the share
-of its text that is links. The element with most points and those of its
-siblings that look alike are the article.
+of its text that is links. The element with most points tells where the article
+is: it has the whole of the article or main element around that, and what stands
+beside it on any level unless that is boilerplate or mostly links.
 """
 
 from __future__ import annotations
@@ -202,6 +203,35 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
             stack += reversed(c.children)
 
 
+def _beside(parent: Node, child: Node) -> tuple[list[list], list[list]]:
+    """What stands before and after a child, by block or run of inline content, without boilerplate."""
+    sides: tuple[list[list], list[list]] = ([], [])
+    side, run = sides[0], None
+    for c in parent.children:
+        if c is child:
+            side, run = sides[1], None
+        elif isinstance(c, Node) and c.dropped:
+            continue
+        elif isinstance(c, Node) and c.tag in BLOCKS:
+            side.append([c])
+            run = None
+        elif run is None:
+            side.append(run := [c])
+        else:
+            run.append(c)
+    low = lambda part: _is_heading(part[0]) or 2 * _total(part, "linked") <= _total(part, "size")
+    return list(filter(low, sides[0])), list(filter(low, sides[1]))
+
+
+def _is_heading(node: Node | str) -> bool:
+    """Titles stay though they often are links."""
+    return isinstance(node, Node) and node.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup")
+
+
+def _total(part: list, what: str) -> int:
+    return sum(getattr(c, what) if isinstance(c, Node) else len(c.strip()) * (what == "size") for c in part)
+
+
 def main_text(source: str | None) -> str:
     """The article of a page as blocks with an empty line between them."""
     if not source:
@@ -211,19 +241,21 @@ def main_text(source: str | None) -> str:
     _score(order)
     holders = [n for n in order if n.tag in BLOCKS and n.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "hr") and n.size]
     best = max(holders, key=lambda n: n.score, default=root)
-    chosen = [best]
-    if best.parent is not None and best.tag not in ("body", "main"):
-        least = max(10.0, best.score * 0.2)
-        chosen = []
-        for c in best.parent.children:
-            if not isinstance(c, Node) or c.dropped or not c.size:
-                continue
-            dense = c.linked / c.size
-            if c is best or c.score >= least and c.tag == best.tag or c.tag == "p" and c.size > 80 and dense < 0.25:
-                chosen.append(c)
+    top = up = best
+    while up is not None:
+        if up.tag in ("article", "main"):
+            top = up
+        up = up.parent
+    before, after, child = [], [], top
+    while child.parent is not None:
+        left, right = _beside(child.parent, child)
+        before.append(left)
+        after += right
+        child = child.parent
     out: list[list[str]] = [[]]
-    for node in chosen:
-        _blocks(node, out)
+    for part in (*(x for left in reversed(before) for x in left), [top], *after):
+        for node in part:
+            _blocks(node, out)
         out.append([])
     texts = (_SPACE.sub(" ", html.unescape("".join(x))).strip() for x in out if x)
     return "\n\n".join(x for x in texts if x)
