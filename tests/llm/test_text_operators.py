@@ -140,6 +140,15 @@ def hf():
 SPECIAL = ["<|endoftext|> x<|startoftext|>y", "don't  STOP\r\nÀÉ É é ΑΣ İ ́x 1234 　 z q", "𝔘𝔫𝔦 ｆｕｌｌ \x1c\x85"]
 
 
+def test_counts_of_special_tokens_in_other_case(spark, hf, tmp_path):
+    texts = ["a <|endoftext|>", "a <|ENDOFTEXT|>", "A <|endoftext|>", "Plain", "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for part in (docs.where("doc_id = 1"), docs):  # the cache is kept
+        got = token_counts.token_counts(part, public_tokenizers.path("word_bpe_49k.json"), cache_path=f"file://{tmp_path}/cache").collect()
+        assert all(r["n_tokens"] == len(hf.encode(texts[r["doc_id"]], add_special_tokens=False).ids) for r in got)
+    assert spark.read.parquet(f"file://{tmp_path}/cache").count() == 4
+
+
 def test_counts_and_cache(spark, docs, empty, hf, tmp_path):
     all_docs = docs.select("doc_id", "text").union(spark.createDataFrame([(100 + i, t) for i, t in enumerate(SPECIAL)], "doc_id long, text string"))
     expected = sorted((str(r["doc_id"]), len((r["text"] or "").encode()), len(hf.encode(r["text"] or "", add_special_tokens=False).ids)) for r in all_docs.collect())

@@ -8,6 +8,7 @@ content, and appended to it.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -23,13 +24,22 @@ CACHE = "content binary, version binary, n_tokens long"
 
 #: Normal forms that leave a tokenizer's counts as they are.
 #: ``spaces``: runs of white space count as one and none count at the ends,
-#: and A-Z count as a-z (the tokenizer drops white space and lower-cases).
+#: and A-Z count as a-z (the tokenizer drops white space and lower-cases), but
+#: for texts with a special token's string, which is matched by case.
 #: ``none``: the text itself.
 NORMAL_FORMS = ("none", "spaces")
 
 
-def normal_form(text: Column, kind: str) -> Column:
-    """The normalised content whose digest is the key of the cache."""
+def special_strings(path: str) -> list[str]:
+    """What a tokenizer of the tokenizers library matches before it lower-cases."""
+    if not path.endswith(".json"):
+        return []
+    with open(path, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f).get("added_tokens") or []]
+
+
+def normal_form(text: Column, kind: str, special: Iterable[str] = ()) -> Column:
+    """The normalised content whose digest is the key of the cache; case stays in texts with a ``special`` string in any case."""
     text = F.coalesce(text, F.lit(""))
     if kind == "none":
         return text
@@ -37,7 +47,12 @@ def normal_form(text: Column, kind: str) -> Column:
         raise ValueError(f"unknown normal form {kind!r}")
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     one = F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
-    return F.translate(F.trim(one), upper, upper.lower())
+    one = F.trim(one)
+    folded = F.translate(one, upper, upper.lower())
+    cased = F.lit(False)
+    for s in special:
+        cased |= folded.contains(F.translate(F.lit(s), upper, upper.lower()))
+    return F.when(cased, one).otherwise(folded)
 
 
 def version_digest(path: str, kind: str) -> bytes:
@@ -48,7 +63,7 @@ def version_digest(path: str, kind: str) -> bytes:
     with open(path, "rb") as f:
         data = f.read()
     library = f"tokenizers {tokenizers.__version__}" if path.endswith(".json") else f"sentencepiece {sentencepiece.__version__}"
-    return hashlib.sha256(data + f"\n{library}\n{kind}".encode()).digest()
+    return hashlib.sha256(data + f"\n{library}\n{kind} 2".encode()).digest()
 
 
 def _count_words(library, words: list[str], group: int = 256) -> list[int]:
@@ -120,7 +135,7 @@ def token_counts(
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
-        F.unhex(F.sha2(normal_form(F.col("text"), kind), 256)).alias("content"),
+        F.unhex(F.sha2(normal_form(F.col("text"), kind, special_strings(vocabulary)), 256)).alias("content"),
     )
     had = cached.select("content").distinct()
     _encode_misses(texts.select("content", "text"), had, vocabulary, version, kind).write.mode("append").parquet(cache_path)
