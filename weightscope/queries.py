@@ -459,11 +459,20 @@ def redact(spark, d):
     return _tokens(spark, d).select("id", C.redact(F.col("token")).alias("shown"), C.truncate(F.col("token"), 16).alias("cut"))
 
 
+_LABELS = """(VALUES (1, 'Hugging Face token', 'hf_[A-Za-z0-9]*', 34, 10000, 'high'), (2, 'AWS access key id', 'AKIA[A-Z0-9]*', 20, 20, 'high'), (3, 'GitHub token', 'ghp_.*', 36, 10000, 'high'), (4, 'GitLab token', 'glpat-.*', 24, 10000, 'high'),
+ (5, 'Anthropic API key', 'sk-ant-.*', 20, 10000, 'high'), (6, 'API secret key', 'sk-.*', 20, 10000, 'medium'), (7, 'Google API key', 'AIza.*', 35, 10000, 'medium')) AS rules(no, label, pattern, least, most, severity)"""
+
+
 @query(
-    f"""WITH {_TOK} SELECT id % 100 AS dir, 'EMBEDDED_SECRET' AS id, 'high' AS severity, 'possible GitHub token in f' || id % 3 AS detail, min_by(substr(token, 1, 4) || '…' || right(token, 2) || ' (' || length(token) || ' chars)', id) AS evidence FROM k WHERE starts_with(token, 'ghp_') AND length(token) >= 36 GROUP BY id % 100, id % 3"""
+    f"""WITH {_TOK.replace("k AS", "whole AS")}, k AS (SELECT id, i, token FROM (SELECT id, unnest(l) AS token, generate_subscripts(l, 1) AS i FROM (SELECT id, string_split_regex(token, '[^A-Za-z0-9_+/=-]') AS l FROM whole)) WHERE length(token) >= 8),
+ c AS (SELECT id, i, token, c, count(*) AS n FROM (SELECT id, i, token, unnest(string_split(token, '')) AS c FROM k) WHERE c <> '' GROUP BY ALL), h AS (SELECT id, i, token, -sum(n / length(token) * log2(n / length(token))) AS bits FROM c GROUP BY ALL),
+ f AS (SELECT id, i, token, bits, min_by({{'label': label, 'severity': severity}}, no) FILTER (regexp_full_match(token, pattern) AND length(token) BETWEEN least AND most) AS known FROM h, {_LABELS} GROUP BY ALL),
+ g AS (SELECT *, coalesce(known.label, CASE WHEN length(token) >= 32 AND bits > 4 THEN 'high-entropy string' END) AS label, coalesce(known.severity, 'low') AS severity FROM f)
+ SELECT id % 100 AS dir, 'EMBEDDED_SECRET' AS id, severity, 'possible ' || label || ' in f' || id % 3 AS detail, arg_min(substr(token, 1, 4) || '…' || right(token, 2) || ' (' || length(token) || ' chars)', id * 1000 + i) AS evidence
+ FROM g WHERE label IS NOT NULL GROUP BY id % 100, id % 3, label, severity"""
 )
 def secret_dedup(spark, d):
-    """One finding for each directory, id and detail."""
+    """One finding for each directory, id and detail."""
     t = _tokens(spark, d)
     texts = t.groupBy((F.col("id") % 100).alias("dir"), F.concat(F.lit("f"), (F.col("id") % 3).cast("string")).alias("source")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "token"))), lambda x: x["token"]), " ").alias("text"))
     return text.secrets(texts, ["dir"])
@@ -596,7 +605,7 @@ def fingerprint(spark, d):
 
 # ----------------------------------------------------- pickles and verdicts
 
-_REFS = """r AS (SELECT l_orderkey AS artifact, l_linenumber AS ord, (['os','collections','torch._utils','builtins','numpy.core'])[1 + l_partkey % 5] AS module, (['system','eval','OrderedDict','print'])[1 + l_suppkey % 4] AS name, l_quantity % 10 = 0 AS ex FROM lineitem WHERE l_orderkey % 3 = 0)"""
+_REFS = """r AS (SELECT l_orderkey AS artifact, l_linenumber AS ord, (['os','collections','torch._utils','builtins','numpy.core'])[1 + l_partkey % 5] AS module, (['system','eval','OrderedDict','print'])[1 + l_suppkey % 4] AS name, l_quantity % 10 = 0 AS ex FROM lineitem)"""
 
 
 def _refs(spark, d):
@@ -621,17 +630,16 @@ def pickle_risk(spark, d):
 
 
 def _findings(spark, d):
-    return _t(spark, d, "events").select((F.col("user_id") % 50).alias("artifact"), F.col("event_type").alias("id"), (F.col("event_id") % 5).cast("tinyint").alias("sev_rank"), F.col("event_id"))
+    return _t(spark, d, "events").select((F.col("user_id") % 50).alias("artifact"), F.col("event_type").alias("id"), (F.col("event_id") % 5).cast("tinyint").alias("sev_rank"), "event_id", "user_id")
 
 
 _SEV = "(['info','low','medium','high','critical'])"
 
 
-@query(f"SELECT user_id % 50 AS artifact, {_SEV}[1 + max(event_id % 5)] AS severity FROM events WHERE event_id % 7 <> 0 AND event_id % 5 < 1 + user_id % 4 GROUP BY user_id % 50")
+@query(f"SELECT user_id % 50 AS artifact, {_SEV}[1 + max(event_id % 5)] AS severity FROM events WHERE event_id % 5 < 1 + user_id % 4 GROUP BY user_id % 50")
 def severity_rollup(spark, d):
     """The highest severity of each artifact."""
-    f = _findings(spark, d).join(_t(spark, d, "events").select("event_id", "user_id"), "event_id").where("sev_rank < 1 + user_id % 4")
-    return rollup.max_severity(f, ["artifact"]).select("artifact", "severity")
+    return rollup.max_severity(_findings(spark, d).where("sev_rank < 1 + user_id % 4"), ["artifact"]).select("artifact", "severity")
 
 
 @query("SELECT user_id % 500 AS artifact, CASE WHEN max(event_id % 5) >= 2 THEN 'untrusted' ELSE 'clean' END AS verdict FROM events WHERE event_id % 5 < 1 + user_id % 3 GROUP BY user_id % 500")
@@ -684,7 +692,7 @@ def signature_decision(spark, d):
     return b.select("id", rollup.signature_status(rollup.bundle_kind(F.col("t")), F.get_json_object("t", "$.manifest"), F.col("c")).alias("status"))
 
 
-@query(f"WITH {_REPORTS} SELECT scan, to_json({{'scan': scan, 'artifacts': list({{'verdict': verdict, 'sev': sev}} ORDER BY verdict, sev)}})::VARCHAR AS report FROM p WHERE scan < 50 GROUP BY scan")
+@query(f"WITH {_REPORTS} SELECT scan, to_json({{'scan': scan, 'artifacts': list({{'verdict': verdict, 'sev': sev}} ORDER BY verdict, sev)}})::VARCHAR AS report FROM p GROUP BY scan")
 def report_json(spark, d):
     """Reports as JSON documents."""
     p = _reports(spark, d).groupBy("scan").agg(F.array_sort(F.collect_list(F.struct("verdict", F.col("sev_rank").alias("sev")))).alias("artifacts"))
