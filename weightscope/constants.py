@@ -109,7 +109,7 @@ PY_CALLS = (
     ("exec(", "evaluated code"),
     ("compile(", "compiled code"),
     ("__import__(", "a computed import"),
-    ("importlib.import_module", "a computed import"),
+    ("importlib.import_module(", "a computed import"),
     ("pickle.loads(", "unpickled data"),
     ("marshal.loads(", "unmarshalled code"),
     ("base64.b64decode(", "decoded data"),

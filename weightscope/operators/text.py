@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weightscope import constants as K
@@ -44,23 +45,38 @@ def code_lines(texts: DataFrame, keys: list[str]) -> DataFrame:
     return lines.select(*keys, (F.col("i") + 1).alias("line_no"), line.alias("line"), (F.length("raw") == F.length(line)).alias("module_level")).where((F.col("line") != "") & ~F.col("line").startswith("#"))
 
 
+def may_matter(text: Column) -> Column:
+    """Can a text hold a dangerous call or something hidden? Wrong for no text that does; one look instead of one a rule."""
+    calls = r"(^|[^A-Za-z0-9_.])(?:" + "|".join(re.escape(n) for n, _ in K.PY_CALLS) + ")"
+    return text.rlike(calls) | text.contains("\\x") | text.rlike("[A-Za-z0-9+/=]{200}")
+
+
 def python_findings(texts: DataFrame, keys: list[str], most: int = K.MAX_PY) -> DataFrame:
     """Dangerous calls and obfuscation by line: keys, ord, id, severity, needle, line_no, evidence.
 
-    At most ``most`` rows by keys, and one more that counts the rest. The
-    needles are an array in each row rather than a join.
+    At most ``most`` rows by keys, and one more that counts the rest. Texts and
+    then lines that can't have any are passed over before the rules are looked
+    at one by one; one window numbers and counts what is found.
     """
-    lines = code_lines(texts, keys)
+    lines = code_lines(texts.where(may_matter(F.col("text"))), keys).where(may_matter(F.col("line")))
     hits = F.filter(F.array(*[F.when(C.is_call(F.col("line"), n), F.lit(n)) for n, _ in K.PY_CALLS]), lambda x: x.isNotNull())
     hidden = C.py_obfuscation(F.col("line"))
     items = F.concat(F.transform(hits, lambda n: F.struct(F.lit("PY_DANGEROUS_CALL").alias("id"), n.alias("needle"))), F.when(hidden.isNotNull(), F.array(F.struct(F.lit("PY_OBFUSCATION").alias("id"), hidden.alias("needle")))).otherwise(F.array().cast("array<struct<id: string, needle: string>>")))
     long = lines.select(*keys, "line_no", "line", "module_level", F.posexplode(items).alias("k", "item"))
-    severity = F.when((F.col("item.id") == "PY_DANGEROUS_CALL") & F.col("module_level"), "high").otherwise("medium")
-    w = Window.partitionBy(*keys).orderBy("line_no", "k")
-    found = long.select(*keys, F.row_number().over(w).alias("ord"), F.col("item.id").alias("id"), severity.alias("severity"), F.col("item.needle").alias("needle"), "line_no", F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "), C.truncate(F.col("line"), 120)).alias("evidence"))
-    rest = found.where(F.col("ord") > most).groupBy(*keys).agg(F.count(F.lit(1)).alias("more"))
-    rest = rest.select(*keys, F.lit(most + 1).alias("ord"), F.lit("PY_DANGEROUS_CALL"), F.lit("high"), F.lit("(more)"), F.lit(None).cast("int"), F.concat(F.col("more").cast("string"), F.lit(" more not listed")))
-    return found.where(F.col("ord") <= most).union(rest)
+    w = Window.partitionBy(*keys)
+    found = long.withColumns({"ord": F.row_number().over(w.orderBy("line_no", "k")), "_all": F.count(F.lit(1)).over(w)}).where(F.col("ord") <= most + 1)
+    more = F.col("ord") > most
+    severity = F.when(more | ((F.col("item.id") == "PY_DANGEROUS_CALL") & F.col("module_level")), "high").otherwise("medium")
+    shown = F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "), C.truncate(F.col("line"), 120))
+    return found.select(
+        *keys,
+        "ord",
+        F.when(more, "PY_DANGEROUS_CALL").otherwise(F.col("item.id")).alias("id"),
+        severity.alias("severity"),
+        F.when(more, "(more)").otherwise(F.col("item.needle")).alias("needle"),
+        F.when(~more, F.col("line_no")).alias("line_no"),
+        F.when(more, F.concat((F.col("_all") - most).cast("string"), F.lit(" more not listed"))).otherwise(shown).alias("evidence"),
+    )
 
 
 def regions(texts: DataFrame, keys: list[str]) -> DataFrame:

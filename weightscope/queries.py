@@ -219,15 +219,19 @@ def alignment_counts(spark, d):
     return drift.align(*_sides(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-@query("SELECT 's' AS side, 'lm_head.weight' AS name, 'wte.weight' AS tied_to WHERE (SELECT count(*) FROM embeddings WHERE vec_id IN (0, 1)) = 2")
+_TIED = """WITH s AS (SELECT CASE WHEN vec_id = 0 THEN 'wte.weight' ELSE 'h.' || vec_id END AS name, embedding FROM embeddings UNION ALL SELECT 'transformer.lm_head.weight', embedding FROM embeddings WHERE vec_id = 0)"""
+
+
+@query(_TIED + " SELECT 's' AS side, 'lm_head.weight' AS name, b.name AS tied_to FROM s a JOIN s b ON a.embedding = b.embedding WHERE a.name = 'transformer.lm_head.weight' AND b.name IN ('wte.weight', 'embed_tokens.weight')")
 def tied_weights(spark, d):
-    """D-4: a tensor that one side lacks, tied to another on the other side."""
-    e = _t(spark, d, "embeddings").where("vec_id in (0, 1)")
-    shape, ok = F.array(F.lit(64)).alias("shape"), F.lit(True).alias("decodable")
-    s = e.select(F.when(F.col("vec_id") == 0, "wte.weight").otherwise("transformer.lm_head.weight").alias("name"), shape, ok)
-    b = e.where("vec_id = 0").select(F.lit("wte.weight").alias("name"), shape, ok)
-    same = e.where("vec_id = 0").select(F.lit("s").alias("side"), F.lit("transformer.lm_head.weight").alias("name"), F.lit("wte.weight").alias("other"))
-    return drift.tied(drift.align(s, b), same).select("side", F.col("canonical_name").alias("name"), "tied_to")
+    """D-4: of all tensors, one that one side lacks, tied to another of equal values on the other side."""
+    e = _t(spark, d, "embeddings")
+    named = e.select(F.when(F.col("vec_id") == 0, "wte.weight").otherwise(F.concat(F.lit("h."), F.col("vec_id").cast("string"))).alias("name"), "embedding")
+    s = named.union(e.where("vec_id = 0").select(F.lit("transformer.lm_head.weight"), "embedding"))
+    side = lambda t: t.select("name", F.array(F.size("embedding").cast("bigint")).alias("shape"), F.lit(True).alias("decodable"))
+    others = s.select(F.col("name").alias("other"), "embedding")
+    same = s.join(others, "embedding").where("name <> other").select(F.lit("s").alias("side"), "name", "other")
+    return drift.tied(drift.align(side(s), side(named)), same).select("side", F.col("canonical_name").alias("name"), "tied_to")
 
 
 @query(
@@ -287,7 +291,11 @@ def region_cap(spark, d):
     return listed.select("artifact", "begin", "severity").union(more.select("artifact", F.lit(None).cast("bigint"), F.lit("high")))
 
 
-_TYPES = "ty(type_id, type_name, be, bb) AS (VALUES " + ", ".join(f"({i}, '{n}', {be if be else 'NULL'}, {bb if bb else 'NULL'})" for i, n, _, be, bb in K.GGML_TYPES) + ")"
+# Spelt out, not made of the constants, so that a wrong one shows.
+_TYPES = """ty(type_id, type_name, be, bb) AS (VALUES (0, 'F32', 1, 4), (1, 'F16', 1, 2), (2, 'Q4_0', 32, 18), (3, 'Q4_1', 32, 20), (6, 'Q5_0', 32, 22), (7, 'Q5_1', 32, 24), (8, 'Q8_0', 32, 34), (9, 'Q8_1', NULL, NULL),
+ (10, 'Q2_K', 256, 84), (11, 'Q3_K', 256, 110), (12, 'Q4_K', 256, 144), (13, 'Q5_K', 256, 176), (14, 'Q6_K', 256, 210), (15, 'Q8_K', 256, 292), (16, 'IQ2_XXS', NULL, NULL),
+ (17, 'IQ2_XS', NULL, NULL), (18, 'IQ3_XXS', NULL, NULL), (19, 'IQ1_S', NULL, NULL), (20, 'IQ4_NL', NULL, NULL), (21, 'IQ3_S', NULL, NULL), (22, 'IQ2_S', NULL, NULL),
+ (23, 'IQ4_XS', NULL, NULL), (24, 'I8', 1, 1), (25, 'I16', 1, 2), (26, 'I32', 1, 4), (27, 'I64', 1, 8), (28, 'F64', 1, 8), (30, 'BF16', 1, 2))"""
 _GG = f"""WITH {_TYPES}, g AS (SELECT l_orderkey AS artifact, 't' || l_linenumber AS name, (l_partkey % 32)::INT AS type_id, l_quantity::BIGINT * 32 AS n, l_linenumber AS ord, sum(0) OVER () AS dummy, l_linenumber * 900 AS "offset" FROM lineitem),
 h AS (SELECT g.*, coalesce(type_name, 'UNKNOWN') AS tn, CASE WHEN n % be = 0 THEN n // be * bb END::BIGINT AS byte_len FROM g LEFT JOIN ty USING (type_id))"""
 
@@ -337,7 +345,7 @@ def gguf_regions(spark, d):
     return accounting.judge_gguf_regions(g).select("artifact", "begin", "severity", C.align_up(F.col("begin"), F.col("alignment")).cast("bigint").alias("aligned"))
 
 
-_DT = "dt(dtype, sz) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in K.DTYPE_SIZES.items()) + ")"
+_DT = "dt(dtype, sz) AS (VALUES ('F64', 8), ('I64', 8), ('U64', 8), ('F32', 4), ('I32', 4), ('U32', 4), ('F16', 2), ('BF16', 2), ('I16', 2), ('U16', 2), ('I8', 1), ('U8', 1), ('BOOL', 1), ('F8_E4M3', 1), ('F8_E5M2', 1))"
 
 
 @query(
@@ -478,22 +486,25 @@ def secret_dedup(spark, d):
     return text.secrets(texts, ["dir"])
 
 
-_PY = "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'import os' || chr(10) || 'os.system(\"x\")' || chr(10) || '  eval(y)' WHEN 1 THEN 'm.eval()' || chr(10) || '# os.system(1)' || chr(10) || 'x = torch.compile(m)' WHEN 2 THEN 'a = \"' || repeat('A', 100 + (doc_id % 200)::INT) || '\"' WHEN 3 THEN repeat('\\x41', (doc_id % 20)::INT) || chr(10) || 'subprocess.run(1); exec(z)' ELSE text END AS text FROM documents"
+_PY = "SELECT doc_id, text || chr(10) || CASE doc_id % 5 WHEN 0 THEN 'import os' || chr(10) || 'os.system(\"x\")' || chr(10) || '  eval(y)' WHEN 1 THEN 'm.eval()' || chr(10) || '# os.system(1)' || chr(10) || 'x = torch.compile(m)' WHEN 2 THEN 'a = \"' || repeat('A', 100 + (doc_id % 200)::INT) || '\"' WHEN 3 THEN repeat('\\x41', (doc_id % 20)::INT) || chr(10) || 'subprocess.run(1); exec(z)' ELSE '' END AS text FROM documents"
 
 
 def _py(spark, d):
+    """Whole texts with code after them."""
     k, n = F.col("doc_id") % 5, F.col("doc_id")
     src = (
         F.when(k == 0, 'import os\nos.system("x")\n  eval(y)')
         .when(k == 1, "m.eval()\n# os.system(1)\nx = torch.compile(m)")
         .when(k == 2, F.concat(F.lit('a = "'), F.repeat(F.lit("A"), (100 + n % 200).cast("int")), F.lit('"')))
         .when(k == 3, F.concat(F.repeat(F.lit("\\x41"), (n % 20).cast("int")), F.lit("\nsubprocess.run(1); exec(z)")))
-        .otherwise(F.col("text"))
+        .otherwise("")
     )
-    return _t(spark, d, "documents").select("doc_id", src.alias("text"))
+    return _t(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\n"), src).alias("text"))
 
 
-_NEEDLES = "n(k, needle) AS (VALUES " + ", ".join(f"({i}, '{n}')" for i, (n, _) in enumerate(K.PY_CALLS)) + ")"
+_NEEDLES = """n(k, needle) AS (VALUES (0, 'os.system('), (1, 'os.popen('), (2, 'os.execv'), (3, 'os.spawn'), (4, 'subprocess.'), (5, 'pty.spawn('), (6, 'eval('), (7, 'exec('), (8, 'compile('), (9, '__import__('),
+ (10, 'importlib.import_module('), (11, 'pickle.loads('), (12, 'marshal.loads('), (13, 'base64.b64decode('), (14, 'codecs.decode('), (15, 'ctypes.'), (16, 'socket.socket('),
+ (17, 'urllib.request.urlopen('), (18, 'urlopen('), (19, 'requests.get('), (20, 'requests.post('), (21, 'httpx.'), (22, 'setattr(builtins'))"""
 _LINES = f"l AS (SELECT doc_id, i AS line_no, regexp_replace(raw, '^\\s+', '') AS line, raw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM ({_PY})))"
 
 
@@ -507,7 +518,7 @@ def py_line_scan(spark, d):
 
 
 @query(
-    f"WITH {_LINES} SELECT doc_id, line_no::INT AS line_no, CASE WHEN (length(line) - length(replace(line, '\\x', ''))) / 2 >= 12 THEN 'many hex escapes' ELSE 'a long encoded literal' END AS kind FROM l WHERE line <> '' AND line NOT LIKE '#%' AND ((length(line) - length(replace(line, '\\x', ''))) / 2 >= 12 OR (doc_id % 5 = 2 AND doc_id % 200 >= 100))"
+    f"WITH {_LINES} SELECT doc_id, line_no::INT AS line_no, CASE WHEN (length(line) - length(replace(line, '\\x', ''))) / 2 >= 12 THEN 'many hex escapes' ELSE 'a long encoded literal' END AS kind FROM l WHERE line <> '' AND line NOT LIKE '#%' AND ((length(line) - length(replace(line, '\\x', ''))) / 2 >= 12 OR (doc_id % 5 = 2 AND doc_id % 200 >= 100 AND line LIKE 'a = \"AAA%'))"
 )
 def py_obfuscation(spark, d):
     """Lines that hide what they do."""
@@ -515,10 +526,11 @@ def py_obfuscation(spark, d):
     return f.select("doc_id", "line_no", F.col("needle").alias("kind"))
 
 
-_TPL = "SELECT doc_id, 'head' || chr(10) || (CASE doc_id % 6 WHEN 0 THEN '{{ messages }}' WHEN 1 THEN '{{ x.__class__.__mro__ }}' WHEN 2 THEN '{% for m in lipsum %}' || chr(10) || '{% endfor %}' WHEN 3 THEN '{{ x|attr(y) }}' WHEN 4 THEN '{{ \"__cl\" + \"ass__\" }}' ELSE '{# __class__ #}' || chr(10) || '{{ x|attr(\"a\" ~ \"__b\") }}' END) AS text FROM documents"
+_TPL = "SELECT doc_id, text || chr(10) || 'head' || chr(10) || (CASE doc_id % 6 WHEN 0 THEN '{{ messages }}' WHEN 1 THEN '{{ x.__class__.__mro__ }}' WHEN 2 THEN '{% for m in lipsum %}' || chr(10) || '{% endfor %}' WHEN 3 THEN '{{ x|attr(y) }}' WHEN 4 THEN '{{ \"__cl\" + \"ass__\" }}' ELSE '{# __class__ #}' || chr(10) || '{{ x|attr(\"a\" ~ \"__b\") }}' END) AS text FROM documents"
 
 
 def _templates(spark, d):
+    """Whole texts with template code after them."""
     k = F.col("doc_id") % 6
     src = (
         F.when(k == 0, "{{ messages }}")
@@ -528,7 +540,7 @@ def _templates(spark, d):
         .when(k == 4, '{{ "__cl" + "ass__" }}')
         .otherwise('{# __class__ #}\n{{ x|attr("a" ~ "__b") }}')
     )
-    return _t(spark, d, "documents").select("doc_id", F.concat(F.lit("head\n"), src).alias("text"))
+    return _t(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\nhead\n"), src).alias("text"))
 
 
 @query(
