@@ -145,6 +145,8 @@ TEMPLATE_FILES = ("chat_template.jinja", "chat_template.json")
 TIED = {"lm_head.weight": ("wte.weight", "embed_tokens.weight")}
 
 MAX_TEXT = 4 << 20
+#: Bytes that a pickle in a zip may inflate to: more is reported, not read.
+MAX_ENTRY = 256 << 20
 MAX_REGIONS, MAX_EVIDENCE, MAX_STREAMS = 16, 32, 64
 MAX_PY, MAX_TEMPLATE, MAX_ALIASES, MAX_CONTRADICTIONS = 20, 12, 5, 3
 EPSILON = 2.220446049250313e-16

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import io
 import json
+import lzma
 import struct
 import zipfile
+import zlib
 
 from weightscope import constants as K
 
@@ -71,10 +73,13 @@ class _Cursor:
     def __init__(self, data):
         self.data, self.at = data, 0
 
-    def take(self, n: int) -> bytes:
+    def skip(self, n: int) -> None:
         if n > len(self.data) - self.at:
             raise ValueError(f"the file ends at byte {len(self.data)}, {n} were expected at {self.at}")
         self.at += n
+
+    def take(self, n: int) -> bytes:
+        self.skip(n)
         return bytes(self.data[self.at - n : self.at])
 
     def u32(self) -> int:
@@ -103,7 +108,10 @@ def _value(c: _Cursor, tag: int) -> tuple[str | None, int | None]:
     if tag == _TAG_ARRAY:
         inner, n = c.u32(), c.u64()
         if inner in _TAG_BYTES:
-            c.take(_TAG_BYTES[inner] * n)
+            c.skip(_TAG_BYTES[inner] * n)
+        elif inner == _TAG_STRING:
+            for _ in range(n):
+                c.skip(c.u64())
         else:
             for _ in range(n):
                 _value(c, inner)
@@ -139,6 +147,8 @@ def read_gguf(data) -> dict:
             tensors.append({"ord": i, "name": name, "dtype": "", "type_id": min(type_id, (1 << 31) - 1), "shape": dims, "begin": offset, "end": None, "problem": None})
     except ValueError as e:
         return {"header_error": str(e), "kv": kv}
+    except RecursionError:
+        return {"header_error": "arrays in arrays go too deep", "kv": kv}
     out = {"kv": kv, "tensors": tensors, "info_end": c.at, "alignment": alignment}
     if tensors:
         start = -(-c.at // alignment) * alignment
@@ -230,11 +240,59 @@ def scan_stream(data, begin: int = 0) -> dict:
     return {"end": at, "truncated": not ended, "exec_ops": ops, "refs": refs, "first_long1": first}
 
 
-def read_pickle(data) -> dict:
+class _View(io.RawIOBase):
+    """A file over any buffer; nothing is copied but what is read."""
+
+    def __init__(self, data):
+        super().__init__()
+        self.data, self.at = data, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, to: int, whence: int = 0) -> int:
+        self.at = max(0, to + (0, self.at, len(self.data))[whence])
+        return self.at
+
+    def readinto(self, out) -> int:
+        part = self.data[self.at : self.at + len(out)]
+        out[: len(part)] = part
+        self.at += len(part)
+        return len(part)
+
+
+#: What reading a damaged or hostile zip may raise.
+_ZIP_ERRORS = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, struct.error, NotImplementedError, RuntimeError, OSError, EOFError, ValueError, KeyError, IndexError, OverflowError)
+
+
+def _zip_pickles(data, most: int) -> list[tuple[str, bytes]]:
+    """Names and contents of the pickles in a zip; ValueError where one inflates beyond ``most`` bytes."""
+    out = []
+    with zipfile.ZipFile(_View(data)) as z:
+        for info in z.infolist():
+            if info.filename.lower().endswith((".pkl", ".pickle")):
+                body = bytearray()
+                with z.open(info) as f:
+                    while part := f.read(1 << 20):
+                        body += part
+                        if len(body) > most:
+                            raise ValueError(f"{info.filename} inflates to more than {most} bytes")
+                out.append((info.filename, bytes(body)))
+    return out
+
+
+def read_pickle(data, most: int = K.MAX_ENTRY) -> dict:
     """Streams and references of a pickle or of the pickles in a zip, and how the rest of the file looks.
 
-    container: unreadable, no_pickle, zip, truncated (at), legacy (torch, with
-    a tail), tail (at, what it begins), or plain.
+    container: unreadable (damaged, or a pickle inflates beyond ``most``
+    bytes), no_pickle, zip, truncated (at), legacy (torch, with a tail), tail
+    (at, what it begins), or plain. One damaged pickle makes a zip unreadable.
     """
     streams, refs = [], []
 
@@ -244,10 +302,8 @@ def read_pickle(data) -> dict:
 
     if bytes(data[:4]) == b"PK\x03\x04":
         try:
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                names = [n for n in z.namelist() if n.lower().endswith((".pkl", ".pickle"))]
-                bodies = [(n, z.read(n)) for n in names]
-        except (zipfile.BadZipFile, NotImplementedError, RuntimeError, OSError, EOFError, ValueError) as e:
+            bodies = _zip_pickles(data, most)
+        except _ZIP_ERRORS as e:
             return {"streams": [], "refs": [], "container": "unreadable", "detail": str(e)}
         for i, (name, body) in enumerate(bodies):
             add(name, i + 1, scan_stream(body))

@@ -83,6 +83,8 @@ def _fact(row: dict) -> Iterator[dict]:
             yield out
     except OSError as e:
         yield {"artifact": path, "format": "unknown", "size": 0, "io_error": str(e)}
+    except (ArithmeticError, LookupError, TypeError, ValueError, RuntimeError, MemoryError) as e:  # one file never ends a scan
+        yield {"artifact": path, "format": "unknown", "size": 0, "io_error": f"its reader failed: {type(e).__name__} {e}"}
 
 
 def facts(artifacts: DataFrame) -> DataFrame:
