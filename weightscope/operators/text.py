@@ -62,9 +62,9 @@ def python_findings(texts: DataFrame, keys: list[str], most: int = K.MAX_PY) ->
     hits = F.filter(F.array(*[F.when(C.is_call(F.col("line"), n), F.lit(n)) for n, _ in K.PY_CALLS]), lambda x: x.isNotNull())
     hidden = C.py_obfuscation(F.col("line"))
     items = F.concat(F.transform(hits, lambda n: F.struct(F.lit("PY_DANGEROUS_CALL").alias("id"), n.alias("needle"))), F.when(hidden.isNotNull(), F.array(F.struct(F.lit("PY_OBFUSCATION").alias("id"), hidden.alias("needle")))).otherwise(F.array().cast("array<struct<id: string, needle: string>>")))
-    long = lines.select(*keys, "line_no", "line", "module_level", F.posexplode(items).alias("k", "item"))
+    long = lines.select(*keys, "line_no", "line", "module_level", F.posexplode(items).alias("_k", "item"))
     w = Window.partitionBy(*keys)
-    found = long.withColumns({"ord": F.row_number().over(w.orderBy("line_no", "k")), "_all": F.count(F.lit(1)).over(w)}).where(F.col("ord") <= most + 1)
+    found = long.withColumns({"ord": F.row_number().over(w.orderBy("line_no", "_k")), "_all": F.count(F.lit(1)).over(w)}).where(F.col("ord") <= most + 1)
     more = F.col("ord") > most
     severity = F.when(more | ((F.col("item.id") == "PY_DANGEROUS_CALL") & F.col("module_level")), "high").otherwise("medium")
     shown = F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "), C.truncate(F.col("line"), 120))
