@@ -173,6 +173,20 @@ def test_rewriting_templates():
     assert not made.rewrites and [made.text[a:b] for a, b in made.contents] == [m["content"] for m in many]
 
 
+def test_a_template_that_changes_at_one_length():
+    at_70 = lambda ms: chat.chat_markup(ms) + "<eos>" * (len(ms) == 70)
+    turns = [{"role": "user", "content": f"turn {i}"} for i in range(100)]
+    assert chat.render_incrementally(at_70, turns).rewrites and not chat.render_incrementally(at_70, turns[:69]).rewrites
+
+
+def test_contents_that_are_changed():
+    turns = [{"role": "user", "content": " a b "}, {"role": "x", "content": ""}, {"role": "y", "content": "\ue000\ue001"}]
+    made = chat.render_incrementally(lambda ms: "".join(f"[{m['content'].strip()}|{m['content'].strip()}]" for m in ms), turns)
+    assert not made.rewrites and [made.text[a:b] for a, b in made.spans] == ["[a b|a b]", "[|]", "[\ue000\ue001|\ue000\ue001]"]
+    made = chat.render_incrementally(chat.chat_markup, turns, context=1)
+    assert made == chat.render_incrementally(chat.chat_markup, turns) and [made.text[a:b] for a, b in made.contents] == [m["content"] for m in turns]
+
+
 def test_conversations(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, "assistant", None), (None, 5, None, "x"), (1, 1, "assistant", "b"), (3, None, "a\nb\\n<|", chat.PROBE)]
     turns = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, formatted string")

@@ -25,11 +25,6 @@ Render = Callable[[Messages], str]
 
 START, END = "<|im_start|>", "<|im_end|>"
 
-#: Up to so many turns every prefix is rendered whole. Longer conversations
-#: are first tried with this much context, and checked as a whole.
-WHOLE, CONTEXT = 64, 8
-
-
 def escape(text: str) -> str:
     """``text`` without any ``<|``: between < and | one backslash more."""
     return re.sub(r"<(\\*)\|", r"<\1\\|", text)
@@ -83,60 +78,67 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def _turn(render: Render, before: Messages, prior: str, turn: dict) -> tuple[str, int, int] | None:
-    """What ``turn`` adds to ``prior`` (the output for ``before``), and where its content is in that.
+def _content(render: Render, before: Messages, turn: dict, after: str, begin: int) -> tuple[int, int]:
+    """Where the content of ``turn`` is in ``after``, the output for ``before`` and it; the turn starts at ``begin``.
 
-    None if the output doesn't start with ``prior``. Two probes in place of the
-    content differ from its first to its last character and in nothing else.
+    A probe in place of the content, a character that the output lacks, shows
+    what stands before and behind. Where a template repeats, drops or changes
+    it, two probes that differ show from where to where outputs differ.
     """
-    after = render([*before, turn])
-    if not after.startswith(prior):
-        return None
-    a, b = (render([*before, turn | {"content": probe}]) for probe in ("A", "B"))
+    probe = next(chr(c) for c in range(0xE000, 0x110000) if chr(c) not in after)
+    shown = render([*before, turn | {"content": probe}])
+    head, tail = shown.find(probe), len(shown) - shown.rfind(probe) - 1
+    if shown.count(probe) == 1 and begin <= head <= len(after) - tail and shown[:head] == after[:head] and shown[head + 1 :] == after[len(after) - tail :]:
+        return head, len(after) - tail
+    a, b = (render([*before, turn | {"content": x}]) for x in ("A", "B"))
     head = _common(a, b)
-    tail = len(a) - head - 1
-    return after[len(prior) :], head - len(prior), len(after) - tail - len(prior)
+    return head, len(after) - (len(a) - head - 1)
 
 
-def render_incrementally(render: Render, messages: Messages) -> Rendered:
+def render_incrementally(render: Render, messages: Messages, context: int | None = None) -> Rendered:
     """Render a conversation and locate its turns.
 
-    If a longer prefix changes what a shorter one gave, ``rewrites`` is set and
-    a turn's span is what its prefix's output has beyond the common start with
-    the output before, as far as the whole output still has it.
+    Every prefix is rendered once, whatever its length, and compared with the
+    output before and with the whole. If a longer prefix changes what a shorter
+    one gave, ``rewrites`` is set and a turn's span is what its prefix's output
+    has beyond the common start with the output before, as far as the whole
+    output still has it.
+
+    What a black box is shown grows with the square of the turns. Whoever knows
+    that a template looks back on no more than some turns may say so by
+    ``context``: each turn is then rendered after so many, and the pieces must
+    make up the whole output, or every prefix is rendered after all.
     """
     whole = render(messages)
-    if len(messages) > WHOLE and (out := _by_windows(render, messages, whole)):
+    if context is not None and (out := _by_windows(render, messages, whole, context)):
         return out
     out, prior = Rendered(whole), render([])
     for k, turn in enumerate(messages):
-        got = _turn(render, messages[:k], prior, turn)
         after = render(messages[: k + 1])
-        if got is None or not whole.startswith(after):
+        if after.startswith(prior) and whole.startswith(after):
+            out.spans.append((len(prior), len(after)))
+            out.contents.append(_content(render, messages[:k], turn, after, len(prior)))
+        else:
             out.rewrites = True
             start, end = _common(prior, after), min(len(after), _common(after, whole))
             out.spans.append((start, max(start, end)))
             out.contents.append((start, start))
-        else:
-            piece, begin, end = got
-            out.spans.append((len(prior), len(prior) + len(piece)))
-            out.contents.append((len(prior) + begin, len(prior) + end))
         prior = after
     return out
 
 
-def _by_windows(render: Render, messages: Messages, whole: str) -> Rendered | None:
+def _by_windows(render: Render, messages: Messages, whole: str, context: int) -> Rendered | None:
     """As ``render_incrementally`` with a bounded context; None if the pieces don't make up the whole."""
     out, at = Rendered(whole), 0
     for k, turn in enumerate(messages):
-        before = messages[:k] if k < WHOLE else messages[k - CONTEXT : k]
-        got = _turn(render, before, render(before), turn)
-        if got is None or not whole.startswith(got[0], at):
+        before = messages[max(0, k - context) : k]
+        prior, after = render(before), render([*before, turn])
+        if not after.startswith(prior) or not whole.startswith(after[len(prior) :], at):
             return None
-        piece, begin, end = got
-        out.spans.append((at, at + len(piece)))
-        out.contents.append((at + begin, at + end))
-        at += len(piece)
+        begin, end = _content(render, before, turn, after, len(prior))
+        out.spans.append((at, at + len(after) - len(prior)))
+        out.contents.append((at + begin - len(prior), at + end - len(prior)))
+        at = out.spans[-1][1]
     return out if at == len(whole) else None
 
 
@@ -153,7 +155,7 @@ _ARROW = pa.schema(
 )
 
 
-def format_conversations(turns: DataFrame, render: Render = chat_markup) -> DataFrame:
+def format_conversations(turns: DataFrame, render: Render = chat_markup, context: int | None = None) -> DataFrame:
     """Format every conversation and locate its turns.
 
     ``turns`` needs conv_id, turn, role and text; other columns are ignored.
@@ -164,7 +166,8 @@ def format_conversations(turns: DataFrame, render: Render = chat_markup) -> Data
     conversation; an empty table gives an empty one.
 
     Conversations are dealt out by id and stream through a task in order, one
-    in memory at a time: it is one row of the result.
+    in memory at a time: it is one row of the result. ``context`` as in
+    ``render_incrementally``; without it every prefix is rendered.
     """
     short_batches(turns.sparkSession)
     rows = turns.select(
@@ -176,7 +179,7 @@ def format_conversations(turns: DataFrame, render: Render = chat_markup) -> Data
         out, size = [], 0
         for conv, own in groupby(stream, key=lambda r: r[0]):
             messages = [{"role": role, "content": text} for _, role, text in own]
-            made = render_incrementally(render, messages)
+            made = render_incrementally(render, messages, context)
             spans = [
                 {"role": m["role"], "start": s[0], "end": s[1], "content_start": c[0], "content_end": c[1]} for m, s, c in zip(messages, made.spans, made.contents, strict=True)
             ]
