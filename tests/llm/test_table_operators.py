@@ -224,11 +224,40 @@ def test_records_that_are_cut_off():
     assert len(list(warc.records(one + one[:-6]))) == 1 and warc.inflate(gzip.compress(one) + gzip.compress(one)) == one * 2
 
 
+def one_record(length="3", body=b"abc", more=b""):
+    return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\n" + more + f"Content-Length: {length}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("length", ["-30", "abc", "", "99", "1e3", "²", "9" * 30])
+def test_lengths_that_are_none(length):
+    got = list(warc.records(one_record() + one_record(length) + one_record(), errors=True))
+    assert [r["type"] for r in got] == ["response", "error"] and got[1]["error"] and got[0]["payload_bytes"] == 3
+
+
+def test_damaged_archives(spark, tmp_path):
+    rng, text = random.Random(6), one_record() * 50
+    packed = gzip.compress(text) + gzip.compress(one_record())
+    assert len(list(warc.records(packed, errors=True))) == 51
+    for _ in range(300):
+        bad = bytearray(packed[: rng.randrange(len(packed))] if rng.random() < 0.5 else rng.choice((packed, text)))
+        for _ in range(rng.randrange(4) if bad else 0):
+            bad[rng.randrange(len(bad))] = rng.randrange(256)
+        assert all(r["type"] == "error" or r["error"] is None for r in warc.records(bytes(bad), errors=True))
+    assert len(list(warc.records(b"x" * (3 << 20) + b"\r\n\r\n", errors=True))) == 1
+    big = one_record(str(5 << 20), b"y" * (5 << 20), b"WARC-Concurrent-To: <b>\r\nwarc-concurrent-to: <c>\r\n")
+    assert [(r["payload_bytes"], r["concurrent_to"]) for r in warc.records(gzip.compress(big) + b"trailing")] == [(5 << 20, ["<b>", "<c>"])]
+    (tmp_path / "a.warc.gz").write_bytes(packed[:-20])
+    (tmp_path / "b.warc").write_bytes(text)
+    (tmp_path / "c.warc").write_bytes(b"")
+    got = {r["type"]: r["count"] for r in warc.read_archives(spark, f"file://{tmp_path}").groupBy("type").count().collect()}
+    assert got["error"] == 1 and got["response"] >= 100
+
+
 def test_links_between_records(spark):
-    row = lambda i, t, c: (i, t, c, None, None, None, None, 0, None, None, None)
-    rows = [row("r1", "response", None), row("q1", "request", "r1"), row("m1", "metadata", "q1"), row("r2", "response", "q2"), row("q2", "request", None), row("m2", "metadata", "gone"), row(None, "request", "r1")]
+    row = lambda i, t, *c: (i, t, [x for x in c if x], None, None, None, None, 0, None, None, None, None)
+    rows = [row("r1", "response", None), row("q1", "request", "r1"), row("m1", "metadata", "q1"), row("r2", "response", "q2"), row("q2", "request", None), row("m2", "metadata", "gone"), row(None, "request", "r1"), row("r3", "response", "q3", "m3"), row("q3", "request"), row("m3", "metadata"), row("m4", "metadata", "gone", "r3"), row(None, "error")]
     got = {r["record_id"]: (len(r["requests"]), len(r["metadata"])) for r in warc.assemble(spark.createDataFrame(rows, warc._RECORD_SQL)).collect()}
-    assert got == {"r1": (1, 1), "r2": (1, 0)}
+    assert got == {"r1": (1, 1), "r2": (1, 0), "r3": (1, 2)}
 
 
 def test_pipeline(spark, tmp_path):

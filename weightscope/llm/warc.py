@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from weightscope.llm.common import new_path, stored
 
 CRLF = "\r\n"
+#: Captures in one archive file at most: what a reader has in memory is one such file as stored.
+CAPTURES = 10_000
 #: Payloads of so many bytes at least are stored once.
 SHARED_BYTES = 1000
 #: The date of all records of the query: captures of a table have none.
@@ -56,12 +58,12 @@ def _record(fields: list[tuple[str, Column | None]], block: Column) -> Column:
     return F.concat(*lines, F.lit(CRLF), block)
 
 
-def write_archives(pages: DataFrame, path: str | None = None, shared: int = SHARED_BYTES) -> str:
+def write_archives(pages: DataFrame, path: str | None = None, shared: int = SHARED_BYTES, captures: int = CAPTURES) -> str:
     """Write a capture of three records for every row of ``pages``; returns the folder.
 
     Null html is an empty payload; a null url is left out; rows that repeat are
     captures of their own. All is made and written by the executors, through
-    Spark's committer, as gzipped files, each of one partition of the join.
+    Spark's committer, as gzipped files of ``captures`` captures at most.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
@@ -96,87 +98,171 @@ def write_archives(pages: DataFrame, path: str | None = None, shared: int = SHAR
         F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF), F.lit("payload-key: "), _urn("page", F.col("page_id"), F.col("digest")), F.lit(CRLF)),
     )
     end = F.lit(CRLF * 2)
-    rows.select(F.concat(request, end, response, end, metadata).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+    rows.select(F.concat(request, end, response, end, metadata).alias("value")).write.option("maxRecordsPerFile", captures).option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
     return path
 
 
 RECORD = pa.schema(
     [
-        *((k, pa.string()) for k in ("record_id", "type", "concurrent_to", "refers_to", "uri", "date", "declared_digest")),
+        ("record_id", pa.string()),
+        ("type", pa.string()),
+        ("concurrent_to", pa.list_(pa.string())),
+        *((k, pa.string()) for k in ("refers_to", "uri", "date", "declared_digest")),
         ("payload_bytes", pa.int64()),
         ("payload_digest", pa.string()),
         ("fields", pa.map_(pa.string(), pa.string())),
         ("payload", pa.binary()),
+        ("error", pa.string()),
     ]
 )
 _RECORD_SQL = (
-    "record_id string, type string, concurrent_to string, refers_to string, uri string, date string, declared_digest string,"
-    " payload_bytes long, payload_digest string, fields map<string,string>, payload binary"
+    "record_id string, type string, concurrent_to array<string>, refers_to string, uri string, date string, declared_digest string,"
+    " payload_bytes long, payload_digest string, fields map<string,string>, payload binary, error string"
 )
+#: Bytes that a record's head may have: without an empty line before, what follows is no record.
+MOST_HEAD = 1 << 20
+_PIECE = 1 << 20
 
 
 def inflate(data: bytes) -> bytes:
     """Gzip members one after the other, or bytes that aren't gzipped as they are."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
-        out += [z.decompress(data), z.flush()]
-        data = z.unused_data
-    return b"".join(out) if out else data
-
-
-def _fields(block: bytes) -> dict[str, str]:
-    pairs = (line.partition(b":") for line in block.split(b"\r\n") if b":" in line)
-    return {k.decode("utf-8", "replace").strip().lower(): v.decode("utf-8", "replace").strip() for k, _, v in pairs}
-
-
-def records(data: bytes, payloads: bool = False) -> Iterator[dict]:
+    return b"".join(_pieces(data))
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """What ``inflate`` gives, in pieces of bounded size. Raises ``zlib.error`` where a member is broken, once what stands before is out."""
+    if data[:2] != b"\x1f\x8b":
+        view = memoryview(data)
+        yield from (bytes(view[i : i + _PIECE]) for i in range(0, len(data), _PIECE))
+        return
+    view = memoryview(data)
+    while len(view) > 1 and bytes(view[:2]) == b"\x1f\x8b":
+        z, at = zlib.decompressobj(31), 0
+        while not z.eof and (at < len(view) or z.unconsumed_tail):
+            more = z.unconsumed_tail or view[at : (at := at + (_PIECE >> 2))]
+            if out := z.decompress(more, _PIECE):
+                yield out
+        if not z.eof:
+            raise zlib.error("the last member is cut off")
+        view = view[min(at, len(view)) - len(z.unused_data) :]
+
+
+def _fields(block: bytes) -> dict[str, list[str]]:
+    """Named fields; one that is repeated has several values."""
+    out: dict[str, list[str]] = {}
+    for line in block.split(b"\r\n"):
+        name, colon, value = line.partition(b":")
+        if colon:
+            out.setdefault(name.decode("utf-8", "replace").strip().lower(), []).append(value.decode("utf-8", "replace").strip())
+    return out
+
+
+class _Stream:
+    """An archive's bytes as far as they are needed: what has been read is let go."""
+
+    def __init__(self, data: bytes):
+        self.pieces, self.held, self.at, self.error = _pieces(data), bytearray(), 0, None
+
+    def more(self) -> bool:
+        """Hold another piece; False at the end or where a member is broken."""
+        try:
+            piece = next(self.pieces, None)
+        except zlib.error as e:
+            self.error, piece = str(e), None
+        if piece is None:
+            self.pieces = iter(())
+            return False
+        if self.at > len(self.held) // 2:
+            del self.held[: self.at]
+            self.at = 0
+        self.held += piece
+        return True
+
+    def head(self) -> bytes | None:
+        """What stands before the next empty line; None if there is none within ``MOST_HEAD`` bytes."""
+        seen = 0
+        while (end := self.held.find(b"\r\n\r\n", self.at + seen)) < 0:
+            seen = max(0, len(self.held) - self.at - 3)
+            if seen > MOST_HEAD or not self.more():
+                return None
+        out = bytes(self.held[self.at : end])
+        self.at = end + 4
+        return out
+
+    def take(self, n: int) -> bytes | None:
+        """The next ``n`` bytes; None if they aren't all there."""
+        while len(self.held) - self.at < n:
+            if not self.more():
+                return None
+        self.at += n
+        return bytes(self.held[self.at - n : self.at])
+
+    def skip_line_ends(self) -> bool:
+        """Go past line ends; False if nothing follows."""
+        while True:
+            while self.held[self.at : self.at + 2] == b"\r\n":
+                self.at += 2
+            if len(self.held) - self.at >= 2 or not self.more():
+                return self.at < len(self.held)
+
+
+def records(data: bytes, payloads: bool = False, errors: bool = False) -> Iterator[dict]:
     """The records of one archive's bytes; by Content-Length, so a payload may hold anything.
 
-    A record that is cut off ends the archive.
+    An archive ends at a record that is cut off, has no usable length or no
+    head, or where a gzip member is broken; with ``errors`` a row of type
+    ``error`` then says why. Records before that are whole.
     """
-    at = 0
-    while (head := data.find(b"\r\n\r\n", at)) >= 0:
-        fields = _fields(data[at:head].partition(b"\r\n")[2])
-        start, size = head + 4, int(fields.get("content-length", "0"))
-        block = data[start : start + size]
-        if len(block) < size:
-            return
-        at = start + size
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        kind, payload = fields.get("warc-type"), block
-        if "application/http" in fields.get("content-type", ""):
+    stream, problem = _Stream(data), None
+    while problem is None and stream.skip_line_ends():
+        head = stream.head()
+        if head is None:
+            problem = "a record's head has no end"
+            break
+        fields = _fields(head.partition(b"\r\n")[2])
+        first = lambda k: (fields.get(k) or [None])[0]  # noqa: B023, E731
+        length = first("content-length") or ""
+        block = stream.take(int(length)) if length.isascii() and length.isdigit() and len(length) < 19 else None
+        if block is None:
+            problem = f"a record is cut off, or its Content-Length {length[:40]!r} is none"
+            break
+        kind, payload = first("warc-type"), block
+        if "application/http" in (first("content-type") or ""):
             payload = block.partition(b"\r\n\r\n")[2]
         yield {
-            "record_id": fields.get("warc-record-id"),
+            "record_id": first("warc-record-id"),
             "type": kind,
-            "concurrent_to": fields.get("warc-concurrent-to"),
-            "refers_to": fields.get("warc-refers-to"),
-            "uri": fields.get("warc-target-uri"),
-            "date": fields.get("warc-date"),
-            "declared_digest": fields.get("warc-payload-digest"),
+            "concurrent_to": fields.get("warc-concurrent-to", []),
+            "refers_to": first("warc-refers-to"),
+            "uri": first("warc-target-uri"),
+            "date": first("warc-date"),
+            "declared_digest": first("warc-payload-digest"),
             "payload_bytes": len(payload),
             "payload_digest": hashlib.sha1(payload).hexdigest() if kind in ("response", "resource") else None,
-            "fields": list(_fields(block).items()) if kind == "metadata" else None,
+            "fields": [(k, v[0]) for k, v in _fields(block).items()] if kind == "metadata" else None,
             "payload": payload if payloads else None,
+            "error": None,
         }
+    problem = stream.error or problem
+    if errors and problem:
+        yield dict.fromkeys(RECORD.names) | {"type": "error", "concurrent_to": [], "error": problem}
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """One row a record of all archives (plain or gzipped) in a folder.
+    """One row a record of all archives (plain or gzipped) in a folder, and one of type ``error`` for each that is damaged.
 
-    An archive is one row of Spark's ``binaryFile`` source and so in memory as
-    a whole: keep archives at some tens of MB, as ``write_archives`` does.
+    An archive is one row of Spark's ``binaryFile`` source, so its stored bytes
+    (2 GB at most) are in memory, but it is inflated piece by piece, and no
+    more than one record is held. Empty files have no records.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 rows, size = [], 0
-                for row in records(inflate(batch.column("content")[i].as_py()), payloads):
+                for row in records(batch.column("content")[i].as_py(), payloads, errors=True):
                     rows.append(row)
-                    size += 200 + (row["payload_bytes"] if payloads else 0)
+                    size += 200 + (row["payload_bytes"] or 0 if payloads else 0)
                     if size > 1 << 20:
                         yield pa.RecordBatch.from_pylist(rows, RECORD)
                         rows, size = [], 0
@@ -190,18 +276,20 @@ def assemble(found: DataFrame) -> DataFrame:
     """One nested row a capture: record_id, response, requests and metadata.
 
     A response, revisit or resource makes a capture. Requests and metadata
-    belong to it if their WARC-Concurrent-To names it, or names a record whose
-    own names it, or if its own names them. Records that lead to no capture, or
-    have no id, are left out; the lists are empty where there are none.
+    belong to it if one of their WARC-Concurrent-To (the field may be repeated)
+    names it, or names a record that belongs to it, or if one of its own names
+    them. Records that lead to no capture, or have no id, are left out; the
+    lists are empty where there are none.
     """
     main = F.col("type").isin("response", "revisit", "resource")
     captures = found.where(main & F.col("record_id").isNotNull())
     others = found.where(~main & F.col("record_id").isNotNull() & F.col("type").isin("request", "metadata"))
-    names = captures.select(F.col("record_id").alias("root"), "concurrent_to").dropDuplicates(["root"])
-    direct = others.select("record_id", F.col("concurrent_to").alias("root")).join(names.select("root"), "root", "left_semi").select("record_id", "root")
-    reverse = names.where("concurrent_to is not null").select(F.col("concurrent_to").alias("record_id"), "root")
+    names = captures.groupBy(F.col("record_id").alias("root")).agg(F.flatten(F.collect_list("concurrent_to")).alias("concurrent_to"))
+    said = others.select("record_id", F.explode("concurrent_to").alias("to"))
+    direct = said.select("record_id", F.col("to").alias("root")).join(names.select("root"), "root", "left_semi").select("record_id", "root")
+    reverse = names.select(F.explode("concurrent_to").alias("record_id"), "root")
     known = direct.union(reverse).groupBy("record_id").agg(F.min("root").alias("root"))
-    through = others.select("record_id", F.col("concurrent_to").alias("via")).join(known.select(F.col("record_id").alias("via"), "root"), "via").select("record_id", "root")
+    through = said.select("record_id", F.col("to").alias("via")).join(known.select(F.col("record_id").alias("via"), "root"), "via").select("record_id", "root")
     roots = known.select("record_id", "root", F.lit(0).alias("far")).union(through.select("record_id", "root", F.lit(1)))
     roots = roots.groupBy("record_id").agg(F.min(F.struct("far", "root")).alias("r")).select("record_id", "r.root")
     body = F.struct("record_id", "type", "uri", "date", "payload_bytes", "fields")
@@ -210,7 +298,7 @@ def assemble(found: DataFrame) -> DataFrame:
         .groupBy("root")
         .agg(F.collect_list(F.when(F.col("type") == "request", body)).alias("requests"), F.collect_list(F.when(F.col("type") == "metadata", body)).alias("metadata"))
     )
-    response = F.struct(*[c for c in found.columns if c not in ("fields", "concurrent_to")]).alias("response")
+    response = F.struct(*[c for c in found.columns if c not in ("fields", "concurrent_to", "error")]).alias("response")
     none = F.array().cast("array<struct<record_id: string, type: string, uri: string, date: string, payload_bytes: bigint, fields: map<string, string>>>")
     return (
         captures.select(F.col("record_id").alias("root"), response)
