@@ -2,14 +2,20 @@
 
 import gzip
 import hashlib
+import html
+import os
 import random
 import re
+import time
+from html.parser import HTMLParser
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weightscope.llm import chat, html_extract, pii, sharding, warc
+from weightscope.llm import chat, html_extract, pii, queries, sharding, warc
+
+DATA = "/root/testdata/sf0.001"
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <header><h2>Site</h2></header><nav><ul><li><a href="/a">A</a></li></ul></nav><div class="cookie-notice">We use cookies, yes, really, on this site, always.</div>
@@ -53,6 +59,90 @@ def test_odd_pages(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("words", ["share-price", "side-effects", "related-work", "social-notes", "reply-time"])
+def test_classes_that_say_something_else(words):
+    block = f"<div class='{words}'><p>Said here.</p></div>"
+    assert html_extract.main_text(f"<article><h1>T</h1>{LONG * 4}{block}</article>").endswith("Said here.")
+    assert html_extract.main_text(f"<div class='content'><h1>T</h1>{LONG * 4}{block}</div>").endswith("Said here.")
+
+
+@pytest.mark.parametrize("words", ["comments", "comment-list", "share-buttons", "related-posts", "social share", "newsletter-signup", "sidebar left", "adSlot", "x cookie-notice"])
+def test_boilerplate_in_articles(words):
+    block = f"<div class='{words}'><p>Said here, at some length, with commas, for points, too.</p></div>"
+    for page in (f"<article>{LONG * 4}{block}</article>", f"<div class='content'>{LONG * 4}{block}</div>", f"<div>{LONG * 4}</div>{block}"):
+        assert html_extract.main_text(page) == "\n\n".join([LONG_TEXT] * 4)
+
+
+def test_content_beside_the_container():
+    page = f"<body><nav>N</nav><h1>Head</h1><p>Lead.</p><div class='content'>{LONG * 5}</div><p>Tail.</p><footer>F</footer></body>"
+    assert html_extract.main_text(page) == "\n\n".join(["Head", "Lead.", *[LONG_TEXT] * 5, "Tail."])
+
+
+def test_formulas_and_pictures():
+    page = "<article><p>Let <math><mi>x</mi><annotation>TeX</annotation></math> be, <svg><svg><text>a</text></svg><text>b</text></svg>in this.</article>"
+    assert html_extract.main_text(page) == "Let x be, in this."
+
+
+BAD_PAGES = {
+    "open tags": "<a " * 330_000, "open quotes": '<a b="' * 160_000, "other quotes": "<a b='\"" * 120_000 + ">", "lone quote": "<a " * 330_000 + '"', "ends of others": "<b>x" * 100_000 + "</i>" * 100_000,
+    "ends out of scope": "<i><div>" + "<b>x" * 100_000 + "</i>" * 100_000, "blocks in inline": "<b>x" * 100_000 + "<div></div>" * 50_000, "deep": "<div>" * 100_000 + "x", "comments": "<!--" * 200_000, "blanks": "<a" + " " * 900_000 + ">x",
+    "attributes": "<a" + " x" * 400_000 + ">x", "links": "<p><a href='x'>y</a>" * 40_000, "raw": "<style>" * 100_000, "no end": "<style></styl" * 70_000, "lists": "<ul><li>" * 80_000,
+}
+
+
+@pytest.mark.parametrize("name", BAD_PAGES)
+def test_bad_pages_take_linear_time(name):
+    begin = time.monotonic()
+    html_extract.main_text(BAD_PAGES[name])
+    assert time.monotonic() - begin < 6  # about one second here; quadratic ones took minutes
+
+
+class Article(HTMLParser):
+    """Another way to the text of pages that have one article element, without boilerplate in it."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.blocks += [""] * (tag in html_extract.BLOCKS)
+        self.blocks[-1] += " " * (tag == "br")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.blocks += [""] * (tag in html_extract.BLOCKS)
+
+    def handle_data(self, data):
+        self.blocks[-1] += data * (self.inside > 0)
+
+    @classmethod
+    def text(cls, page):
+        parser = cls()
+        parser.feed(page)
+        parser.close()
+        return "\n\n".join(t for b in parser.blocks if (t := " ".join(b.split())))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+def test_pages_of_the_query(spark):
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    got = queries.QUERIES["op3_html_extract"](spark, DATA).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        want = Article.text(pages[r["page_id"]]["html"] or "")
+        assert (r["url"], r["text"], r["n_chars"]) == (pages[r["page_id"]]["url"], want, len(want))
+
+
+@given(st.lists(st.tuples(st.sampled_from(["p", "h2", "li", "blockquote", "td", "pre"]), st.text(st.sampled_from("ab ,.&<é\n"), min_size=1, max_size=40)), min_size=1, max_size=8), st.sampled_from(["<article>{}</article>", "<main><div>{}</div></main>", "<body><div><section>{}</section></div></body>"]))
+@settings(max_examples=150, deadline=None)
+def test_made_pages(blocks, frame):
+    body = "".join(f"<{t}>{html.escape(x)}</{t}>" for t, x in blocks)
+    menu = "<nav><ul>" + "<li><a href='/x'>Menu</a></li>" * 3 + "</ul></nav>"
+    want = "\n\n".join(t for _, x in blocks if (t := " ".join(x.split())))
+    assert html_extract.main_text(menu + frame.format(body) + "<footer>F</footer>") == want
+
+
 @given(st.text(st.sampled_from("<>/pa b\"'=!-&;"), max_size=80))
 @settings(max_examples=200, deadline=None)
 def test_no_page_breaks_the_parser(source):

@@ -18,26 +18,36 @@ from pyspark.sql import functions as F
 
 from weightscope.llm.common import map_batches
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"[A-Za-z][^\s/>]*")
+_SPECIAL = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to the end tag, and none of the article.
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that never are part of an article.
-DROPPED = frozenset("nav footer aside form button select option input dialog menu head object embed canvas audio video".split())
+DROPPED = frozenset("nav footer aside form button select option input dialog menu head object embed canvas audio video svg annotation annotation-xml template".split())
 #: Roles and words of class or id that mark what is no part of an article.
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-UNLIKELY = frozenset(
-    "ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion banner breadcrumb breadcrumbs navigation nav navbar menu"
-    " sidebar side rail footer foot masthead header cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription"
-    " signup login share sharing social related recommended recommendations comment comments commentlist disqus respond replies reply discussion"
-    " feedback pagination pager toolbar widget skip hidden".split()
+#: Words that mark boilerplate wherever they stand in a class or id.
+BOILERPLATE = frozenset(
+    "adsense advert advertisement advertising banner breadcrumb breadcrumbs comment commentlist comments consent contentinfo cookie cookies disqus footer gdpr masthead"
+    " menu modal nav navbar navigation newsletter pagination popup promo promotion sidebar sponsor sponsored toolbar".split()
+)
+#: Words that do so where all words beside them say nothing else.
+UNLIKELY = BOILERPLATE | frozenset(
+    "ad ads adv alert discussion feedback foot header hidden login notice notices overlay pager rail recommended recommendations related replies reply respond share"
+    " sharing side signup skip social subscribe subscription widget".split()
+)
+#: Words of classes that say where or how, but not what.
+NEUTRAL = frozenset(
+    "area articles bar block body bottom box button buttons card container content form global group icons inner items left link links list main medium outer page panel"
+    " post posts primary right secondary section site slot small sticky text top unit wrap wrapper zone".split()
 )
 LIKELY = frozenset("article content body main entry post story text page column blog hentry".split())
 #: What closes an open element of the first kind when it starts.
@@ -66,69 +76,142 @@ class Node:
         self.score, self.size, self.linked, self.dropped = 0.0, 0, 0, False
 
 
+class _Tags:
+    """Where the tags of a page end, in time linear in the page however it is broken."""
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.special = (0, -1)  # from where to where the next of > " ' is known
+        self.open: set[int] = set()  # quotes from which no tag ends
+
+    def _next(self, at: int) -> int:
+        """The place of the next of > \" ' from ``at``; the page's length if there is none."""
+        low, high = self.special
+        if not low <= at <= high:
+            m = _SPECIAL.search(self.source, at)
+            self.special = (at, m.start() if m else len(self.source))
+        return self.special[1]
+
+    def end(self, at: int) -> int:
+        """Where the tag whose attributes start at ``at`` has its >; -1 if nowhere.
+
+        That is the first > outside quotes, or where quotes don't pair up before
+        the page ends, simply the first.
+        """
+        if at > self.last:
+            return -1
+        begin, passed = at, []
+        while True:
+            stop = self._next(at)
+            if stop == len(self.source):
+                break
+            if self.source[stop] == ">":
+                return stop
+            passed.append(stop)
+            close = -1 if stop in self.open else self.source.find(self.source[stop], stop + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.open.update(passed)
+        return self.source.find(">", begin)
+
+
 def parse(source: str) -> Node:
-    """The element tree of a page, whatever its faults."""
-    root = Node("html")
-    at, here, size = 0, root, len(source)
+    """The element tree of a page, whatever its faults, in time linear in its length."""
+    root, tags, size, at = Node("html"), _Tags(source), len(source), 0
+    open_ = [root]  # the open elements, outermost first
+    places: dict[str, list[int]] = {}  # of each kind, where in ``open_`` it stands
+    scopes, blocks, raw_ends = [0], [0], {}
+
+    def close(index: int) -> None:
+        """Close the element at ``index`` of ``open_`` and all in it."""
+        while len(open_) > index:
+            tag, i = open_.pop().tag, len(open_)
+            places[tag].pop()
+            for known in (scopes, blocks):
+                if known[-1] == i:
+                    known.pop()
+
     while at < size:
-        m = _TOKEN.search(source, at)
-        if m is None:
-            here.children.append(source[at:])
+        i = source.find("<", at)
+        if i < 0:
+            open_[-1].children.append(source[at:])
             break
-        if m.start() > at:
-            here.children.append(source[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        if i > at:
+            open_[-1].children.append(source[at:i])
+        if source.startswith("<!--", i):
+            end = source.find("-->", i + 4)
+            at = end + 3 if end >= 0 else size
             continue
-        tag = m[2].lower()
-        if m[1]:
-            node = here
-            while node is not root and node.tag != tag and not (node.tag in SCOPES and tag not in SCOPES and tag not in BLOCKS):
-                node = node.parent
-            if node is not root and node.tag == tag:
-                here = node.parent
+        if source.startswith(("<!", "<?"), i):
+            end = source.find(">", i)
+            at = end + 1 if end >= 0 else size
+            continue
+        ends = source.startswith("</", i)
+        m = _TAG.match(source, i + 1 + ends)
+        stop = tags.end(m.end()) if m else -1
+        if stop < 0:  # no tag: text up to the next one
+            at = source.find("<", i + 1)
+            at = at if at >= 0 else size
+            open_[-1].children.append(source[i:at])
+            continue
+        tag, attributes, at = m[0].lower(), source[m.end() : stop], stop + 1
+        if ends:
+            index = (places.get(tag) or [0])[-1]
+            if index and (tag in SCOPES or tag in BLOCKS or index >= scopes[-1]):
+                close(index)
             continue
         if tag in ("html", "body"):
             continue
-        while here is not root and tag in CLOSES.get(here.tag, ()):
-            here = here.parent
-        if tag in BLOCKS:  # an unclosed inline element in a paragraph doesn't keep the paragraph open
-            node = here
-            while node is not root and node.tag not in BLOCKS:
-                node = node.parent
-            if tag in CLOSES.get(node.tag, ()):
-                here = node.parent
-        elif tag == "li" or tag in CLOSES:
-            pass
-        node = Node(tag, m[3] or "", here)
-        here.children.append(node)
+        while len(open_) > 1 and tag in CLOSES.get(open_[-1].tag, ()):
+            close(len(open_) - 1)
+        if tag in BLOCKS and tag in CLOSES.get(open_[blocks[-1]].tag, ()):
+            close(blocks[-1])  # an unclosed inline element in a paragraph doesn't keep the paragraph open
+        node = Node(tag, attributes, open_[-1])
+        open_[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            if tag not in raw_ends:
+                raw_ends[tag] = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
+            end = raw_ends[tag].search(source, at)
             at = end.end() if end else size
-        elif tag not in VOID and not (m[3] or "").endswith("/"):
-            here = node
+        elif tag not in VOID and not attributes.endswith("/"):
+            places.setdefault(tag, []).append(len(open_))
+            if tag in SCOPES:
+                scopes.append(len(open_))
+            if tag in BLOCKS:
+                blocks.append(len(open_))
+            open_.append(node)
     return root
 
 
-def _names(node: Node) -> tuple[set[str], dict[str, str]]:
+def _names(node: Node) -> tuple[list[list[str]], dict[str, str]]:
+    """Classes and ids, each as its words, and the attributes."""
     pairs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(node.attributes)} if node.attributes else {}
     text = f"{pairs.get('class', '')} {pairs.get('id', '')}"
-    return set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", text).lower())) if text.strip() else set(), pairs
+    return [w for x in text.split() if (w := re.findall("[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()))], pairs
+
+
+def _is_boilerplate(words: list[str], inside: bool) -> bool:
+    """Does a class mark what is no part of an article? ``inside`` one, it must say nothing else."""
+    found = UNLIKELY.intersection(words)
+    if not found or (LIKELY.intersection(words) and found <= {"header", "side", "hidden"}):
+        return False
+    return UNLIKELY.union(NEUTRAL, LIKELY).issuperset(words) or (not inside and not BOILERPLATE.isdisjoint(words))
 
 
 def _is_dropped(node: Node, inside: bool) -> bool:
     """Is an element no part of any article? ``inside``: an article element holds it."""
     if node.tag in DROPPED or node.tag in RAW or (node.tag == "header" and not inside):
         return True
-    if node.tag in ("article", "main", "html", "body"):
+    if not node.attributes or node.tag in ("article", "main", "html", "body"):
         return False
     names, pairs = _names(node)
     if "hidden" in pairs or pairs.get("aria-hidden") == "true" or pairs.get("role", "").lower() in ROLES:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", pairs.get("style", "")):
         return True
-    found = names & UNLIKELY
-    return bool(found) and not (names & LIKELY and not found - {"header", "side", "text", "page", "body", "hidden"})
+    likely = any(LIKELY.issuperset(w) for w in names)  # one class of several that names the content itself
+    return any(_is_boilerplate(w, inside or likely) for w in names)
 
 
 def _measure(root: Node) -> list[Node]:
@@ -177,8 +260,7 @@ def _score(order: list[Node]) -> None:
     for node in order:
         if node.tag in ("article", "main"):
             node.score += 25
-        names = _names(node)[0] if node.attributes else set()
-        node.score += 10 * bool(names & LIKELY)
+        node.score += 10 * bool(node.attributes and any(LIKELY.intersection(w) for w in _names(node)[0]))
         if node.size:
             node.score *= 1 - node.linked / node.size
 
@@ -268,7 +350,8 @@ def extract(pages: DataFrame) -> DataFrame:
     page_id, url, text ('' if there is none) and n_chars (its code points).
     Null and empty pages have no text; of containers with equal points the
     first in the page counts; equal rows give equal rows; an empty table gives
-    an empty one. One pass, no shuffle.
+    an empty one. One pass, no shuffle; time and memory are linear in a page's
+    length, whatever it holds, and a page is in memory as a whole.
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
