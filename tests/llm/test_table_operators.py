@@ -231,6 +231,28 @@ def test_weak_supervision(spark):
     assert clean[0] == 'noise token = "[SECRET]" more' and clean[1] == rows[1][1]
 
 
+def test_names_addresses_and_accounts(spark):
+    rng = random.Random(3)
+    filler = lambda: " ".join(rng.choices("the of word lower text here and more".split(), k=12))
+    finds = ["contact Anna Schmidt", "Dear Dr. Peter Miller", "address: 12 Old Mill Road", "wohnhaft Hauptstraße 5", "IBAN GB82 WEST 1234 5698 7654 32", "account DE89370400440532013000"]
+    leaves = ["Next Chapter", "Paris. Then", "page 12 of Things", "Table Four"]
+    rows = [(i, f"{filler()} {(finds + leaves)[i % 10]} {filler()}") for i in range(300)]
+    got = {r["doc_id"]: [(s["kind"], rows[r["doc_id"]][1][s["start"] : s["end"]]) for s in r["spans"]] for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = [("person", "Anna Schmidt"), ("person", "Dear Dr. Peter Miller"), ("address", "12 Old Mill Road"), ("address", "Hauptstraße 5"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("iban", "DE89370400440532013000")]
+    for i in range(10):
+        assert got[i] == ([want[i]] if i < 6 else []), rows[i][1]
+
+
+def test_clashing_columns(spark):
+    names = ["_text", "_base", "_cand", "_candidate", "_email", "_ip", "_card", "_phone", "_spans", "spans", "c0", "c1"]
+    docs = spark.createDataFrame([(1, "mail a@b.co", *names)], ["doc_id", "text", *names])
+    found = pii.detect(docs)
+    assert found.columns == [c for c in docs.columns if c != "spans"] + ["spans"]
+    assert [found.first()[c] for c in names if c != "spans"] == [c for c in names if c != "spans"]
+    clean = pii.redact(docs)
+    assert clean.columns == docs.columns and list(clean.first()) == [1, "mail [EMAIL]", *names]
+
+
 def test_redaction(spark):
     rows = [(1, "é mail a@b.co, ip 10.0.0.1!"), (2, None), (3, "nothing")]
     got = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

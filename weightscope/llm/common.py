@@ -54,6 +54,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def boxed(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+    """``df`` with its columns named c0, c1 and so on, and what ``text`` is called there.
+
+    Columns that an operator adds for itself then clash with none of the
+    caller's, whatever those are called; ``toDF`` gives the names back.
+    """
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), f"c{df.columns.index(text)}"
+
+
 def short_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch for this session."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
