@@ -12,9 +12,10 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weightscope.llm import bpe, decontaminate, quality, simhash, token_counts
+from weightscope.llm import bpe, decontaminate, quality, queries, simhash, token_counts
 from weightscope.llm.components import components
 
+DATA = "/root/testdata/sf0.001"
 RNG = random.Random(7)
 WORDS = ["alpha", "beta", "Gamma", "delta", "ünlü", "x1", "…", "the", "of", "###", "a|b"]
 TEXTS = [None, "", " \n\t", "one", "A b C d", "a\x0bb\x1cc\xa0d"] + [" ".join(RNG.choices(WORDS, k=n)) for n in (3, 4, 5, 25, 60, 60, 400)]
@@ -188,7 +189,7 @@ def brute_base(text):
 @given(st.lists(st.text(st.sampled_from("ab \n#\xa0"), max_size=80), max_size=5))
 @settings(max_examples=150, deadline=None)
 def test_base_features(texts):
-    assert quality.base_features(texts)[1].T.tolist() == [list(brute_base(t)) for t in texts]
+    assert quality.base_features(texts).T.tolist() == [list(brute_base(t)) for t in texts]
 
 
 def test_judge(spark, docs, empty):
@@ -203,6 +204,39 @@ def test_judge(spark, docs, empty):
     assert quality.judge(empty, path).count() == 0
 
 
+@given(st.text(st.sampled_from("ab ▁\n\t\ré①x."), max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_tokens_of_whole_texts(text):
+    vocabulary = quality._pieces_of(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    assert vocabulary.parted and vocabulary.encode(text).tolist() == vocabulary.model.encode(text)
+
+
+def test_measures_of_the_query(spark):
+    """Every measure and verdict of op4 on the driver's table, from the library's tokens of whole texts."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = queries.QUERIES["op4_fertility"](spark, DATA).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        text = docs[r["doc_id"]]["text"] or ""
+        ids = model.encode(text)
+        base = brute_base(text)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == base and r["n_tokens"] == len(ids)
+        failed = base[0] < 20 or 100 * base[4] > 30 * base[0]
+        counts, bits = np.unique(ids, return_counts=True)[1], 0.0
+        if ids:
+            bits = float(-(counts / len(ids) * np.log2(counts / len(ids))).sum())
+            assert r["chars_per_token"] == len(text) / len(ids) and abs(r["token_entropy"] - bits) < 1e-9
+            assert r["fallback_share"] == sum(map(model.is_byte, ids)) / len(ids)
+        band = quality.LANGUAGES[docs[r["doc_id"]]["lang"]]
+        low = band.chars[0] * (1 if len(ids) >= 160 else 0.75) * len(ids)
+        least = max([b for n, b in band.entropy if len(ids) >= n], default=0)
+        fits = ids and low <= len(text) <= 9 * len(ids) and sum(map(model.is_byte, ids)) <= 0.15 * len(ids) and bits >= least
+        assert (r["base_failed"], r["kept"]) == (failed, bool(not failed and fits))
+
+
 def test_bands():
     b = quality.LANGUAGES["en"]
     assert quality.verdict(b, 1000, 450, 0, 6.5) and not quality.verdict(b, 1000, 450, 0, 3.0)
