@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from weightscope.llm import bpe, decontaminate, quality, queries, simhash, token_counts
 from weightscope.llm.components import components
@@ -311,6 +312,11 @@ def test_leaks(spark, empty):
             n, hit, items = decontaminate.brute_force(LEAKS[r["doc_id"]], BENCH)
             assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) == (n, hit, len(items), decontaminate.items_digest(items))
             assert r["contaminated"] == (hit > 0 and 20 * hit >= n)
+    names = ["leak", "_leak", "_key", "hits", "c0", "c1"]
+    more = docs.select("doc_id", "text", *[F.lit(n).alias(n) for n in names])
+    for block in (1 << 20, 60):
+        rows = decontaminate.remove_leaks(more, bench, block_bytes=block).collect()
+        assert all(list(r)[2:] == names for r in rows) and {r["doc_id"]: r["text"] for r in rows}.keys() == {3, 4, 5, 6, 7}
     kept = {r["doc_id"]: r["text"] for r in decontaminate.remove_leaks(docs, bench).collect()}
     assert kept == {3: LEAKS[3], 4: None, 5: "", 6: " " + "filler " * 60, 7: LEAKS[7]}
     none = spark.createDataFrame([], "item_id long, text string")

@@ -10,14 +10,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weightscope.llm.common import map_batches, pieces
+from weightscope.llm.common import boxed, map_batches, pieces, stored
 
 #: Bytes of benchmark text in one block. A block's words and windows take some
 #: 30 times as much on the driver and in a worker; a larger benchmark is
@@ -96,17 +98,18 @@ class Windows:
         return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple]]:
-    """The benchmark's rows in blocks of bounded size, one on the driver at a time."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
+    """The benchmark's rows in blocks of bounded size, one on the driver at a time; one empty block if there are none."""
     rows = benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator(prefetchPartitions=False)
-    block, size = [], 0
+    block, size, any_yet = [], 0, False
     for item, text in rows:
         block.append((item, text))
         size += len(text.encode())
         if size >= block_bytes:
             yield block
-            block, size = [], 0
-    yield block
+            block, size, any_yet = [], 0, True
+    if block or not any_yet:
+        yield block
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -120,24 +123,43 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 13, block_bytes:
     with a null id hits words but is not listed; rows that repeat are treated
     alike; extra columns stay, except that one called ``leak`` is replaced.
 
-    The benchmark's size is bounded block by block (``block_bytes``): each
-    block is one pass of the same scan that adds its hits to those before. A
-    benchmark of ordinary size is one block, and the scan then needs no
-    shuffle at all.
+    A benchmark of ordinary size is one block of ``block_bytes``, and the scan
+    then needs no shuffle at all. A larger one is scanned block by block, each
+    in a job of its own of which only the hits are stored, so that one block is
+    in memory at a time however many there are.
     """
-    spark = docs.sparkSession
-    out = docs.drop("leak").withColumn("leak", F.lit(None).cast(_LEAK))
-    for rows in _blocks(benchmark, block_bytes):
-        block = spark.sparkContext.broadcast(Windows.of(rows, n))
-        out = _scan(out, block)
-    return out
+    kept = docs.drop("leak")
+    inner, text = boxed(kept)
+    return _find(inner, text, benchmark, n, block_bytes).toDF(*kept.columns, "leak")
+
+
+def _find(docs: DataFrame, text: str, benchmark: DataFrame, n: int, block_bytes: int) -> DataFrame:
+    """``docs`` (of ``boxed``) with a last column ``leak``."""
+    send = docs.sparkSession.sparkContext.broadcast
+    blocks = _blocks(benchmark, block_bytes)
+    first = Windows.of(next(blocks), n)
+    none, others, keyed = F.lit(None).cast(_LEAK), [], None
+    for rows in blocks:
+        if keyed is None:
+            keyed = stored(docs.withColumn("_key", F.monotonically_increasing_id()), "documents")
+        block = send(Windows.of(rows, n))
+        found = _scan(keyed.select("_key", text).withColumn("leak", none), text, block)
+        others.append(stored(found.where(F.size("leak.hits") > 0).select("_key", "leak"), "hits"))
+        block.destroy()
+    if keyed is None:
+        return _scan(docs.withColumn("leak", none), text, send(first))
+    gathered = reduce(DataFrame.union, others).groupBy("_key").agg(
+        F.struct(F.max("leak.n_words").alias("n_words"), F.flatten(F.collect_list("leak.hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("leak.items"))).alias("items")).alias("leak")
+    )
+    return _scan(keyed.join(gathered, "_key", "left").select(*docs.columns, F.col("leak").cast(_LEAK).alias("leak")), text, send(first))
 
 
 _LEAK = "struct<n_words: bigint, hits: array<struct<start: int, end: int>>, items: array<string>>"
 
 
-def _scan(docs: DataFrame, block) -> DataFrame:
-    place = docs.columns.index("text")
+def _scan(docs: DataFrame, text: str, block) -> DataFrame:
+    """``docs`` whose last column, ``leak``, also has the hits of the windows in the broadcast ``block``."""
+    place = docs.columns.index(text)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         windows = block.value
@@ -206,13 +228,15 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
 
     A document goes if ``share`` times its hit words are at least its words.
     From one that stays, each run of hit words is cut with what stands between
-    them. Rows, columns and their order are else as in ``docs``.
+    them. Rows, columns and their order are else as in ``docs``: null and empty
+    texts stay, rows that repeat are treated alike, other columns may have any
+    name, an empty table gives an empty one.
     """
-    own = docs.withColumnRenamed("leak", "_leak")  # a column of that name is theirs, and stays
-    found = find_leaks(own, benchmark, n, block_bytes)
+    inner, text = boxed(docs)
+    found = _find(inner, text, benchmark, n, block_bytes)
     n_hit = F.aggregate("leak.hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     kept = found.where((F.size("leak.hits") == 0) | (share * n_hit < F.col("leak.n_words")))
-    place, names = own.columns.index("text"), own.columns
+    place, names = inner.columns.index(text), inner.columns
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(place).to_pylist()
@@ -223,7 +247,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
         columns[place] = pa.array(texts, pa.string())
         return pa.RecordBatch.from_arrays(columns, names)
 
-    return map_batches(kept, cut, own.schema).toDF(*docs.columns)
+    return map_batches(kept, cut, inner.schema).toDF(*docs.columns)
 
 
 def cut_words(text: str, runs: list[tuple[int, int]]) -> str:
