@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from weightscope.llm import chat, html_extract, pii, queries, sharding, warc
 
@@ -180,6 +181,11 @@ def test_shards_of_a_hot_key(spark, tmp_path):
     back = spark.read.parquet(path)
     assert back.count() == 80 and back.groupBy("shard").agg({"text": "count"}).count() > 3
     assert sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    names = ["_h", "_bytes", "_key", "depth", "shard_bytes", "c0", "_shard0"]
+    path = sharding.write_shards(docs.select("*", *[F.lit(n).alias(n) for n in names], F.lit("x").alias("shard")), f"file://{tmp_path}/t", 200)
+    back = spark.read.parquet(path)
+    assert back.count() == 80 and all(r[n] == n for r in back.collect() for n in names)
+    assert all(r["b"] <= 200 for r in back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b")).collect())
 
 
 def luhn(digits):

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weightscope.llm.common import new_path, stored
+from weightscope.llm.common import boxed, new_path, stored
 
 LIMIT = 64 << 20  # bytes of text in a shard
 WORD = 60  # bits in each of the hash's three numbers
@@ -24,7 +24,7 @@ def _word(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def hashed(docs: DataFrame) -> DataFrame:
+def hashed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``_h`` (three numbers of 60 bits) and ``_bytes``.
 
     The first number is of the doc_id; the second, of the text, parts rows of
@@ -33,11 +33,11 @@ def hashed(docs: DataFrame) -> DataFrame:
     return docs.withColumns(
         {
             "_h": F.array(
-                _word(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))),
-                _word(F.coalesce("text", F.lit(""))),
+                _word(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))),
+                _word(F.coalesce(text, F.lit(""))),
                 _word(F.monotonically_increasing_id().cast("string")),
             ),
-            "_bytes": F.octet_length(F.coalesce("text", F.lit(""))).cast("long"),
+            "_bytes": F.octet_length(F.coalesce(text, F.lit(""))).cast("long"),
         }
     )
 
@@ -106,11 +106,19 @@ def shard_documents(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> str:
-    """Write ``docs`` with all its columns, a folder ``shard=...`` of Parquet a shard; returns the path."""
+    """Write ``docs`` with all its columns, a folder ``shard=...`` of Parquet a shard; returns the path.
+
+    The column ``shard`` is the writer's: one of that name in ``docs`` is
+    replaced. Rows are hashed once and stored, since the place that parts equal
+    rows may be another when it is computed again; then one shuffle deals them
+    out. Nulls, repeated rows and empty tables as in ``shard_documents``.
+    """
     path = path or new_path(docs.sparkSession, "shards")
-    rows = hashed(docs)
-    placed = assign(rows, directory(stored(rows.select("_h", "_bytes"), "sizes"), limit))
-    placed = placed.select(*docs.columns, F.concat(F.lit("b"), "shard").alias("shard"))
+    kept = docs.drop("shard")
+    inner, text = boxed(kept)
+    rows = stored(hashed(inner, f"c{kept.columns.index('doc_id')}", text), "hashed")
+    placed = assign(rows, directory(rows.select("_h", "_bytes"), limit))
+    placed = placed.select(*inner.columns, F.concat(F.lit("b"), "shard").alias("shard")).toDF(*kept.columns, "shard")
     placed.repartition("shard").write.partitionBy("shard").parquet(path)
     return path
 
