@@ -101,6 +101,57 @@ def test_links_find_every_pair(spark):
     assert len(ids) == len(rows) and got == brute_components(rows)
 
 
+def test_large_shards_are_cut(spark):
+    """One dense group far over the cell's size, at home and as guests, in trees with fitted and made nodes."""
+    rng = random.Random(5)
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
+    fps = list(dict.fromkeys([flip(0x123456789ABCDEF, rng.randrange(1, 6)) for _ in range(900)] + [rng.getrandbits(64) for _ in range(300)]))
+    signed = [(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(fps)]
+    edges = simhash.links(spark.createDataFrame(signed, "least long, fp long"), leaf=8, cell=50)
+    root = {r["node"]: r["root"] for r in components(edges).collect()}
+    groups = defaultdict(list)
+    for i, x in signed:
+        groups[root.get(x, x)].append(i)
+    got = sorted((str(i), fps[i], str(min(g))) for g in groups.values() for i in g)
+    assert got == brute_components(list(enumerate(fps)))
+
+
+@pytest.mark.parametrize("blocks, distance", [(3, 4), (5, 4), (2, 4), (3, 5)])
+def test_no_neighbour_is_pruned(blocks, distance):
+    """Whatever is within the radius in a block lives in a leaf that is visited; for radius 1, no other leaf is."""
+    rng = np.random.default_rng(2)
+    forest = simhash.Forest(12, blocks, distance)
+    fps = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    for b in range(blocks):
+        forest.fit_node(b, 0, 0, fps & forest.masks[b])
+        low = int(forest.masks[b]) & -int(forest.masks[b])
+        bits = [low << i for i in range(forest.widths[b])]
+        who, leaf = forest.visits(fps, b)
+        for i, x in enumerate(fps.tolist()):
+            ball = {x} | ({x ^ p for p in bits} if forest.radius else set()) | ({x ^ p ^ q for p in bits for q in bits} if forest.radius == 2 else set())
+            homes = set(forest.home(np.array(sorted(ball), np.uint64), b).tolist())
+            seen = leaf[who == i].tolist()
+            assert homes <= set(seen) and len(seen) == len(set(seen)) and (forest.radius > 1 or homes == set(seen))
+
+
+def test_keep_one_with_clashing_columns(spark):
+    names = ["fp", "key", "root", "least", "text_", "c0", "c1", "_n", "_own", "_id", "component_id", "copies"]
+    rows = [(None, "a b c d e", *names), (None, "A b c d e", *names), (2, None, *names), (1, "", *names), (1, None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(str, (list(r) for r in got.collect()))) == sorted(map(str, ([None, "A b c d e", *names], [1, None, *names])))
+
+
+def test_joins_with_hot_keys(spark):
+    from weightscope.llm import common
+
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(4000)], "i long, k string")
+    right = left.groupBy("k").count().withColumn("v", F.upper("k"))
+    got = common.join_hot(left, right, "k", "count")
+    assert sorted((r["i"], r["v"]) for r in got.collect()) == [(i, "HOT" if i % 3 else f"K{i}") for i in range(4000)]
+
+
 def test_keep_one(docs, empty):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
