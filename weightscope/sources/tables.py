@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; on one machine, where it is unset, a folder of our own."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where the setting is absent a folder of our own is made, which is right
+    only if all run on one machine; on a cluster that is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
@@ -24,8 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{where}"
 
 
+_runs: set[str] = set()
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one. It goes when the application ends."""
+    where = f"{shared_dir(spark)}/weightscope-{spark.sparkContext.applicationId}"
+    if where not in _runs:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _runs.add(where)
+    return where
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the run's folder that nothing has used yet."""
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table and read it back: its lineage is cut, and plans on it stay small."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    Cuts the lineage, so that plans on it stay small and what follows survives
+    the loss of any executor without computing ``df`` again.
+    """
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
