@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weightscope.sources.tables import new_path, stored
+
+__all__ = ["boxed", "join_hot", "map_batches", "Memo", "new_path", "pieces", "short_batches", "stored"]
+
 #: Rows in one Arrow batch. Texts are long, so a batch is kept short: its
 #: memory is this many times the mean text, not 10,000 times.
 ARROW_ROWS = 512
@@ -22,39 +21,6 @@ ARROW_ROWS = 512
 MEMO_ENTRIES = 300_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is absent a folder of our own is made, which is right
-    only if all run on one machine; on a cluster that is an error.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    where = os.path.realpath(tempfile.mkdtemp(prefix="weightscope-"))
-    atexit.register(shutil.rmtree, where, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{where}")
-    return f"file://{where}"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage: what follows survives the loss of any executor without
-    computing ``df`` again.
-    """
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Keys that may each have more than one of so many parts of all rows: fewer than that many.
 HOT_SHARE = 1000
 

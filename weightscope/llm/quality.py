@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weightscope.llm.common import Memo, map_batches, pieces
+from weightscope.llm.common import Memo, boxed, map_batches, pieces
 
 
 @dataclass(frozen=True)
@@ -203,10 +203,11 @@ _RESULT_SQL = (
 )
 
 
-def judge(docs: DataFrame, model_path: str, languages: dict[str, Band] = LANGUAGES, scripts: dict[str, Band] = SCRIPTS) -> DataFrame:
+def judge(docs: DataFrame, model_path: str, languages: dict[str, Band] = LANGUAGES, scripts: dict[str, Band] = SCRIPTS, *, text: str = "text", lang: str = "lang") -> DataFrame:
     """Measure every whole text and give the verdict, in a column ``quality``.
 
-    ``docs`` needs ``text``; ``lang`` chooses the band if it is there. All
+    ``docs`` needs ``text``; ``lang`` chooses the band if it is there (both may
+    be called otherwise). All
     other columns stay, except that one called ``quality`` is replaced. The
     struct has n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed (under 20 words, or over 30 % of the words in repeated windows
@@ -218,8 +219,8 @@ def judge(docs: DataFrame, model_path: str, languages: dict[str, Band] = LANGUAG
     with open(model_path, "rb") as f:
         data = f.read()
     docs = docs.drop("quality")
-    place = docs.columns.index("text")
-    lang_at = docs.columns.index("lang") if "lang" in docs.columns else None
+    place = docs.columns.index(text)
+    lang_at = docs.columns.index(lang) if lang in docs.columns else None
     names = [*docs.columns, "quality"]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -249,3 +250,11 @@ def judge(docs: DataFrame, model_path: str, languages: dict[str, Band] = LANGUAG
         return pa.RecordBatch.from_arrays([*columns, pa.array(rows, _RESULT)], names)
 
     return map_batches(docs, work, docs.withColumn("quality", F.lit(None).cast(_RESULT_SQL)).schema)
+
+
+def keep(docs: DataFrame, model_path: str, languages: dict[str, Band] = LANGUAGES, scripts: dict[str, Band] = SCRIPTS) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns, whatever these are called."""
+    inner, text = boxed(docs)
+    lang = f"c{docs.columns.index('lang')}" if "lang" in docs.columns else "lang"
+    judged = judge(inner, model_path, languages, scripts, text=text, lang=lang)
+    return judged.where("quality.kept").select(*inner.columns).toDF(*docs.columns)
