@@ -1,4 +1,10 @@
-"""A corpus pipeline of five of the training-data operators."""
+"""A corpus pipeline of five of the training-data operators.
+
+Every stage takes all rows that the one before kept and, but for the last,
+returns rows with the columns of ``documents`` and any others that came along,
+whatever those are called. A null text counts as an empty one. An empty table
+passes through all stages as one. Texts are taken whole, however long.
+"""
 
 from __future__ import annotations
 
@@ -10,29 +16,39 @@ from weightscope.llm.common import new_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    own = docs.withColumnRenamed("quality", "_quality")  # a column of that name is theirs, and stays
-    judged = quality.judge(own, public_tokenizers.path("piece_bpe_32k.model"))
-    return judged.where("quality.kept").select(*own.columns).toDF(*docs.columns)
+    """Documents that the quality rules keep.
+
+    Null and empty texts go, as do those under 20 words; a null or unknown
+    language takes the rules of the text's script; equal rows share their lot.
+    """
+    return quality.keep(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies.
+
+    The least doc_id stays (nulls last), of equal ones the least text, of equal
+    rows any one. Texts without words are copies of each other.
+    """
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
+    """Documents without passages of the benchmark.
+
+    A document that they make up a twentieth of goes, from others they are cut.
+    Null texts and benchmark items without words are in nothing.
+    """
     return decontaminate.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind. All rows stay; a null text stays null."""
     return pii.redact(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with the digests of the round trip."""
+    """Token ids of each document, with the digests of the round trip: a row a row, no ids for a null text."""
     return bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
