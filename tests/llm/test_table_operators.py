@@ -393,3 +393,40 @@ def test_pipeline(spark, tmp_path):
     out = {r["doc_id"]: bytes(r["decoded"]).decode() for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert out == {0: base, 5: rows[5][1].replace("a@b.co", "[EMAIL]")}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near-duplicates", "decontamination", "personal data", "byte-level BPE"]
+
+
+def test_pipeline_with_odd_tables(spark, tmp_path):
+    """Columns named as any operator's own pass through every stage, null ids and texts too; an empty table gives one."""
+    import corpus_pipeline
+
+    names = ["quality", "_quality", "leak", "_leak", "spans", "_spans", "_text", "_base", "_cand", "fp", "key", "root", "least", "n", "_n", "_key", "c0", "c9", "hits", "shard", "text_"]
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(n))
+    texts = [prose(200), prose(150), None, "", prose(180) + " ip 10.0.0.1"]
+    rows = [(i if i != 1 else None, t, None, "s", None, *names) for i, t in enumerate([*texts, texts[0]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    spark.createDataFrame([(1, "x y z"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table, want in ((docs, {0, None, 4}), (docs.limit(0), set())):
+        for name, stage in corpus_pipeline.STAGES:
+            table = stage(spark, table, str(tmp_path))
+            if name != "byte-level BPE":
+                assert table.columns == docs.columns
+                assert all([r[n] for n in names] == names for r in table.collect()), name
+        got = table.collect()
+        assert {r["doc_id"] for r in got} == want and len(got) == len(want)
+        assert all(bytes(r["decoded"]).decode().endswith("ip [IP]") for r in got if r["doc_id"] == 4)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql_of_the_queries(spark, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for f in os.listdir(DATA):
+        db.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{DATA}/{f}'")
+    want = db.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, DATA)
+    assert sorted(got.columns) == sorted(want.columns)
+    shown = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    assert shown(tuple(r) for r in got.select(*want.columns).collect()) == shown(want.fetchall()) != []

@@ -373,3 +373,33 @@ def test_leaks(spark, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(docs, none).where("size(leak.hits) > 0").count() == 0
     assert decontaminate.find_leaks(empty.select("doc_id", "text"), bench).count() == 0
+
+
+def driver_table(spark, name):
+    return spark.read.parquet(f"{DATA}/{name}.parquet").collect()
+
+
+def test_queries_against_brute_force(spark, hf, tik):
+    """op1, op2, op8 and op10 over the driver's smallest tables, whole."""
+    docs, bench = driver_table(spark, "documents"), [tuple(r[c] for c in ("item_id", "text")) for r in driver_table(spark, "benchmark")]
+    by_id = {r["doc_id"]: r["text"] or "" for r in docs}
+    run = lambda name: queries.QUERIES[name](spark, DATA).collect()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = brute_components([(d, brute_fingerprint(t)) for d, t in by_id.items()])
+    assert sorted((str(r["doc_id"]), int(r["fingerprint"], 16), str(r["component_id"])) for r in run("op1_simhash")) == want
+    counts = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in run("op2_token_counts")}
+    lengths = {d: len(hf.encode(t, add_special_tokens=False).ids) for d, t in by_id.items()}
+    assert counts == {d: (len(t.encode()), lengths[d], lengths[d] > 2048) for d, t in by_id.items()}
+    ids = {d: np.array(tik.encode_ordinary(t), "<u4") for d, t in by_id.items()}
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in run("op8_byte_bpe")} == {d: (len(i), sha(i.tobytes()), sha(by_id[d].encode())) for d, i in ids.items()}
+    windows = [(str(item), words_of, {tuple(words_of[i : i + min(13, len(words_of))]) for i in range(max(1, len(words_of) - 12))}) for item, t in bench if (words_of := decontaminate.words_of(t))]
+    for r in run("op10_decontaminate"):
+        w, hit, items = decontaminate.words_of(by_id[r["doc_id"]]), set(), set()
+        for item, own, known in windows:
+            n = min(13, len(own))
+            for i in range(len(w) - n + 1):
+                if w[i] in own and tuple(w[i : i + n]) in known:
+                    hit.update(range(i, i + n))
+                    items.add(item)
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) == (len(w), len(hit), len(items), sha(",".join(sorted(items)).encode()))
+        assert r["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= len(w))
