@@ -260,7 +260,7 @@ def test_judge(spark, docs, empty):
 @settings(max_examples=300, deadline=None)
 def test_tokens_of_whole_texts(text):
     vocabulary = quality._pieces_of(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
-    assert vocabulary.parted and vocabulary.encode(text).tolist() == vocabulary.model.encode(text)
+    assert vocabulary.parted and all(vocabulary.encode(text, lot).tolist() == vocabulary.model.encode(text) for lot in (1, 7, quality.LOT))
 
 
 def test_measures_of_the_query(spark):

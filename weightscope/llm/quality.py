@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weightscope.llm.common import Memo, boxed, map_batches, pieces
+from weightscope.llm.common import boxed, map_batches, pieces
 
 
 @dataclass(frozen=True)
@@ -87,17 +87,19 @@ def verdict(band: Band, chars: int, tokens: int, fallback: int, entropy: float)
     return low <= ratio <= band.chars[1] and fallback <= band.fallback * tokens and entropy >= least
 
 
-#: What a text falls into where no piece of the vocabulary reaches from one part into the next.
-_PARTS = re.compile("▁+[^▁\n]*|[^▁\n]+|\n")
+#: Characters of a text that the library gets at once.
+LOT = 1 << 20
+#: Where longer texts are cut: at a blank behind something else, with something to follow.
+_CUT = re.compile("(?<=[^ ▁]) (?=.)", re.S)
 
 
 class Pieces:
-    """Token ids of whole texts under a sentencepiece model, each distinct part encoded once.
+    """Token ids of whole texts under a sentencepiece model.
 
-    White space is ``▁`` to the model. Where no piece has one behind another
-    character and none a line end, a text's tokens are those of its parts one
-    after the other, line ends (byte tokens) and runs of blanks included. Other
-    models, which ``parted`` tells, get whole texts.
+    A blank is ``▁`` to the model, which puts one before what it gets. Where no
+    piece has one behind another character, no token reaches over a cut, and a
+    long text's tokens are those of its parts, each without its first blank.
+    Other models, which ``parted`` tells, get long texts whole too.
     """
 
     def __init__(self, data: bytes):
@@ -106,37 +108,17 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=data)
         size = self.model.get_piece_size()
         self.is_byte = np.array([self.model.is_byte(i) for i in range(size)])
-        self.kind = "<u2" if size <= 1 << 16 else "<u4"
-        self.blank, self.line_end = self.model.piece_to_id("▁"), self.model.piece_to_id("<0x0A>")
-        names = [self.model.id_to_piece(i) for i in range(size)]
-        self.memo = Memo(self._fill)
-        self.parted = not any("▁" in n.lstrip("▁") or "\n" in n for n in names) and all(
-            self._whole(t) == self._joined(t) for t in ("a", " a  b ", "\n\na", "a \n b\n", "▁x", "x\ty é\r\n①", " ", "\n", "ﬁ  \n  ")
+        self.parted = not any("▁" in self.model.id_to_piece(i).lstrip("▁") for i in range(size)) and all(
+            self.encode(t, 1).tolist() == self.model.encode(t) for t in ("a b", " a  b ", "a \n b\n c", "▁x y", "x\ty é z\r\n①", "a  ", "ﬁ  \n  x")
         )
 
-    def _raw(self, ids: list) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        return self._raw(self.model.encode(text, num_threads=1))
-
-    def _fill(self, parts: list[str]) -> list[bytes]:
-        """The model puts a blank before what it gets: it gets parts without their first, and others behind a line end."""
-        given = [p[1:] if p[0] == "▁" else f"\n{p}" for p in parts]
-        made = self.model.encode(given, num_threads=1)
-        return [self._raw([self.blank] if p == "▁" else [self.line_end] if p == "\n" else ids if p[0] == "▁" else ids[2:]) for p, ids in zip(parts, made, strict=True)]
-
-    def _joined(self, text: str) -> bytes:
-        parts = _PARTS.findall("▁" + text.replace(" ", "▁")) if text else []
-        try:
-            return b"".join(map(self.memo.known.__getitem__, parts))
-        except KeyError:
-            self.memo.learn(parts)
-            return b"".join(map(self.memo.known.__getitem__, parts))
-
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str, lot: int = LOT) -> np.ndarray:
         """The token ids of a whole text."""
-        return np.frombuffer(self._joined(text) if self.parted else self._whole(text), self.kind)
+        out, at = [], 0
+        while (len(text) - at > lot) and (lot < LOT or self.parted) and (cut := _CUT.search(text, at + lot)):
+            out.append(np.array(self.model.encode(text[at : cut.start()], num_threads=1), np.int32))
+            at = cut.end()
+        return np.concatenate([*out, np.array(self.model.encode(text[at:], num_threads=1), np.int32)])
 
 
 @lru_cache(maxsize=2)
@@ -162,25 +144,36 @@ def base_features(texts: list) -> np.ndarray:
 
 
 def repeated_words(words: list[list[bytes]], n: int = 8) -> np.ndarray:
-    """For each list, the words in windows of n (a power of two) that occur twice or more in it."""
+    """For each list, the words in windows of n that occur twice or more in it."""
     flat = [w for own in words for w in own]
     sizes = np.array([len(own) for own in words], np.int64)
     if len(flat) < n:
         return np.zeros(len(words), np.int64)
     index = {w: i for i, w in enumerate(set(flat))}
-    ids = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
-    width = 1
-    while width < n:  # numbers of windows of twice the width; equal numbers mean equal windows
-        ids = np.unique(ids[:-width] * (int(ids.max()) + 1) + ids[width:], return_inverse=True)[1]
-        width *= 2
-    owner = np.repeat(np.arange(len(words)), sizes)
-    inside = owner[: len(ids)] == owner[n - 1 :]
-    at = np.flatnonzero(inside)
-    _, which, counts = np.unique(ids[at] * len(words) + owner[at], return_inverse=True, return_counts=True)
-    twice = at[counts[which] > 1]
+    ids = np.fromiter(map(index.__getitem__, flat), np.uint64, len(flat))
+    owner, windows = np.repeat(np.arange(len(words)), sizes), len(flat) - n + 1
+    at = np.flatnonzero(owner[:windows] == owner[n - 1 :])
+    salt = np.random.default_rng(n).integers(1, 1 << 63, n + 1, dtype=np.uint64) | np.uint64(1)
+    hashed = owner[:windows].astype(np.uint64) * salt[n]
+    for k in range(n):
+        hashed += ids[k : k + windows] * salt[k]
+    hashed = hashed[at]
+    order = np.argsort(hashed, kind="stable")
+    at, hashed = at[order], hashed[order]
+    like_next = np.flatnonzero(hashed[1:] == hashed[:-1])
+    left, right = at[like_next], at[like_next + 1]
+    same = owner[left] == owner[right]
+    for k in range(n):
+        same &= ids[left + k] == ids[right + k]
+    if not same.all():  # unlike windows share a hash: number windows instead
+        rows = np.stack([owner[at].astype(np.uint64), *(ids[at + k] for k in range(n))], 1)
+        _, which, counts = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
+        twice = at[counts[which.ravel()] > 1]
+    else:
+        twice = np.union1d(left, right)
     edge = np.zeros(len(flat) + 1, np.int64)
-    np.add.at(edge, twice, 1)
-    np.add.at(edge, twice + n, -1)
+    edge[twice] += 1
+    edge[twice + n] -= 1
     covered = np.cumsum(edge[:-1]) > 0
     return np.bincount(owner[covered], minlength=len(words)).astype(np.int64)
 
