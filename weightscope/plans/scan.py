@@ -203,7 +203,7 @@ def tensor_statistics(tensors: DataFrame) -> DataFrame:
     keys = ["artifact", "name"]
     t = tensors.where("status in ('ok', 'size_mismatch', 'unknown_dtype')").withColumns({"path": F.col("artifact"), "elements": F.least(C.product(F.col("shape")), F.lit(9.2e18)).cast("bigint"), "byte_len": F.coalesce("avail_len", "byte_len")})
     t = t.withColumn("element_count", F.col("elements"))
-    cols = [*keys, "path", "start", "byte_len", "decode", "elements"]
+    cols = [*keys, "path", "start", "byte_len", "decode", "elements", *readers._content(t)]
     merged = stats.describe(stats.merge_moments(stored(readers.chunk_moments(t.select(*cols), keys), "moments"), keys).join(t.select(*keys, "element_count"), keys)).drop("element_count")
     out = readers.chunk_outliers(t.select(*cols).join(merged.select(*keys, "std"), keys), keys, stats.OUTLIER_STDS).groupBy(*keys).agg(F.sum("outliers").alias("_out"))
     merged = merged.join(out, keys, "left").withColumn("outlier_mass", F.when(F.col("n") > 0, F.coalesce("_out", F.lit(0)) / F.col("n"))).drop("_out")

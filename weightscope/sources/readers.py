@@ -2,7 +2,8 @@
 
 All take a DataFrame of paths (on a file system that executors share) and
 return rows; a file is mapped into memory, so that only what is looked at is
-read.
+read. Rows with a binary column ``content``, as Spark's ``binaryFile`` source
+gives for any store, are read from that instead.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import mmap
 import os
 from collections.abc import Iterable, Iterator
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,16 @@ class Mapped:
         self.file.close()
 
 
+def _data(row: dict, path: str = "path"):
+    """The bytes that a row is about: its content, or the file that it names, mapped."""
+    content = row.get("content")
+    return Mapped(row[path]) if content is None else nullcontext(content)
+
+
+def _content(df: DataFrame) -> list[str]:
+    return ["content"] * ("content" in df.columns)
+
+
 def _map_rows(df: DataFrame, work, schema: str) -> DataFrame:
     """Rows from rows by a Python generator function of a dict."""
     arrow = df.sparkSession.createDataFrame([], schema).schema
@@ -68,7 +80,7 @@ def _map_rows(df: DataFrame, work, schema: str) -> DataFrame:
 def _fact(row: dict) -> Iterator[dict]:
     path = row["artifact"]
     try:
-        with Mapped(path) as data:
+        with _data(row, "artifact") as data:
             kind = containers.detect(path, bytes(data[:16]))
             out = {"artifact": path, "format": kind, "size": len(data)}
             if kind == "safetensors":
@@ -89,7 +101,7 @@ def _fact(row: dict) -> Iterator[dict]:
 
 def facts(artifacts: DataFrame) -> DataFrame:
     """What the header or the opcodes of each artifact say; one task a file at most."""
-    return _map_rows(artifacts.select("artifact").repartition("artifact"), _fact, FACTS)
+    return _map_rows(artifacts.select("artifact", *_content(artifacts)).repartition("artifact"), _fact, FACTS)
 
 
 def range_digests(ranges: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,13 +115,13 @@ def range_digests(ranges: DataFrame, keys: list[str]) -> DataFrame:
 
     def work(row: dict) -> Iterator[dict]:
         start = row["i"] * seg
-        with Mapped(row["path"]) as data:
+        with _data(row) as data:
             part = data[row["begin"] + start : row["begin"] + min(row["len"], start + seg)]
         whole = blake3.hexdigest(part) if row["len"] <= seg else None
         yield {k: row[k] for k in [*keys, "i"]} | {"value": None if whole else blake3.subtree(part, start), "digest": whole}
 
     kinds = ", ".join(f"{k} {dict(ranges.dtypes)[k]}" for k in keys)
-    parts = _map_rows(cut.select(*keys, "path", "begin", "len", "i").repartition(*keys, "i"), work, f"{kinds}, i long, value binary, digest string")
+    parts = _map_rows(cut.select(*keys, "path", "begin", "len", "i", *_content(cut)).repartition(*keys, "i"), work, f"{kinds}, i long, value binary, digest string")
     gathered = parts.groupBy(*keys).agg(F.max("digest").alias("digest"), F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("parts"))
 
     def finish(row: dict) -> Iterator[dict]:
@@ -122,14 +134,14 @@ def look_at(regions: DataFrame, keys: list[str]) -> DataFrame:
     """Byte ranges (keys, path, start, len) with all_zero, magic and preview."""
 
     def work(row: dict) -> Iterator[dict]:
-        with Mapped(row["path"]) as data:
+        with _data(row) as data:
             start, end = row["start"], min(len(data), row["start"] + row["len"])
             zero = all(not np.frombuffer(data[i : min(end, i + (1 << 24))], np.uint8).any() for i in range(start, end, 1 << 24))
             head = bytes(data[start : min(end, start + 64)])
         yield {k: row[k] for k in keys} | {"all_zero": zero, "magic": containers.identify(head), "preview": containers.preview(head)}
 
     kinds = ", ".join(f"{k} {dict(regions.dtypes)[k]}" for k in keys)
-    looked = _map_rows(regions.select(*keys, "path", "start", "len"), work, f"{kinds}, all_zero boolean, magic string, preview string")
+    looked = _map_rows(regions.select(*keys, "path", "start", "len", *_content(regions)), work, f"{kinds}, all_zero boolean, magic string, preview string")
     return regions.join(looked, keys)
 
 
@@ -142,11 +154,14 @@ def _chunks(tensors: DataFrame) -> DataFrame:
     return tensors.where("decode is not null").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), n)))
 
 
-def _read_chunk(path: str, start: int, size: int, decode: str, elements: int, chunk: int) -> np.ndarray:
+def _read_chunk(row: dict, side: str = "") -> np.ndarray:
+    """Values of a row's chunk of the tensor whose columns start with ``side``."""
+    start, size, decode, elements = (row[f"{side}{c}"] for c in ("start", "byte_len", "decode", "elements"))
     per, width = numeric.unit(decode)
+    chunk = row["chunk"]
     begin = chunk * CHUNK_VALUES // per * width
     want = CHUNK_VALUES // per * width
-    with Mapped(path) as data:
+    with _data(row, f"{side}path") as data:
         raw = bytes(data[start + begin : start + min(size, begin + want)])
     return numeric.decode(raw, decode, max(0, elements - chunk * CHUNK_VALUES) if per > 1 else None)
 
@@ -155,7 +170,7 @@ def chunk_moments(tensors: DataFrame, keys: list[str]) -> DataFrame:
     """Partial moments of every chunk."""
 
     def work(row: dict) -> Iterator[dict]:
-        values = _read_chunk(row["path"], row["start"], row["byte_len"], row["decode"], row["elements"], row["chunk"])
+        values = _read_chunk(row)
         yield {k: row[k] for k in keys} | numeric.moments(values)
 
     kinds = ", ".join(f"{k} {dict(tensors.dtypes)[k]}" for k in keys)
@@ -166,7 +181,7 @@ def chunk_outliers(tensors: DataFrame, keys: list[str], times: float) -> DataFra
     """How many values of every chunk are more than ``times`` the tensor's ``std`` from zero."""
 
     def work(row: dict) -> Iterator[dict]:
-        values = _read_chunk(row["path"], row["start"], row["byte_len"], row["decode"], row["elements"], row["chunk"])
+        values = _read_chunk(row)
         yield {k: row[k] for k in keys} | {"outliers": int((np.isfinite(values) & (np.abs(values) > times * row["std"])).sum())}
 
     kinds = ", ".join(f"{k} {dict(tensors.dtypes)[k]}" for k in keys)
@@ -178,7 +193,7 @@ def byte_entropies(tensors: DataFrame, keys: list[str]) -> DataFrame:
 
     def work(row: dict) -> Iterator[dict]:
         counts = np.zeros(256, np.int64)
-        with Mapped(row["path"]) as data:
+        with _data(row) as data:
             end = row["start"] + row["byte_len"]
             for i in range(row["start"], end, 1 << 24):
                 counts += np.bincount(np.frombuffer(data[i : min(end, i + (1 << 24))], np.uint8), minlength=256)
@@ -196,7 +211,7 @@ def chunk_pairs(pairs: DataFrame, keys: list[str], eps: float) -> DataFrame:
     n = F.greatest(F.lit(0).cast("bigint"), F.ceil(F.least("s_elements", "b_elements") / CHUNK_VALUES) - 1)
 
     def work(row: dict) -> Iterator[dict]:
-        s, b = (_read_chunk(row[f"{t}_path"], row[f"{t}_start"], row[f"{t}_byte_len"], row[f"{t}_decode"], row[f"{t}_elements"], row["chunk"]) for t in "sb")
+        s, b = (_read_chunk(row, f"{t}_") for t in "sb")
         yield {k: row[k] for k in keys} | numeric.pair_sums(s, b, eps)
 
     kinds = ", ".join(f"{k} {dict(pairs.dtypes)[k]}" for k in keys)
