@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 from weightscope import constants as K
 from weightscope.plans.scan import Scan
+from weightscope.sources.tables import together
 
 STATS = ("nan_count", "inf_count", "min", "max", "max_abs", "mean", "std", "l2_norm", "rms", "kurtosis", "sparsity", "outlier_mass")
 PROFILE = ("layer", "l2", "mean_kurtosis", "max_abs", "params", "sparsity")
@@ -157,16 +158,20 @@ def _finding(r) -> dict:
 
 def collect(scan: Scan) -> Report:
     """The report of a scan."""
+    wanted = ("findings", "manifests", "signatures", "reports", "tensor_digests", "tensor_stats", "layer_profile", "layer_anomalies", "fingerprints")
+    tables = {"findings": scan.findings, **scan.tables}
+    names = [n for n in wanted if n in tables]
+    rows = dict(zip(names, together(*[tables[n].collect for n in names]), strict=True))
     found: dict[tuple, list[dict]] = {}
-    for r in sorted(scan.findings.collect(), key=lambda r: (r["kind"], r["artifact"], r["phase"], r["ord"], r["id"], r["detail"])):
+    for r in sorted(rows["findings"], key=lambda r: (r["kind"], r["artifact"], r["phase"], r["ord"], r["id"], r["detail"])):
         found.setdefault((r["kind"], r["artifact"]), []).append(_finding(r))
-    grouped = lambda name, order: _group(scan.tables[name].collect(), order) if name in scan.tables else {}
-    manifest = {r["artifact"]: r["manifest"] for r in scan.tables["manifests"].collect()}
-    status = {r["artifact"]: r["status"] for r in scan.tables["signatures"].collect()}
+    grouped = lambda name, order: _group(rows.get(name, ()), order)
+    manifest = {r["artifact"]: r["manifest"] for r in rows["manifests"]}
+    status = {r["artifact"]: r["status"] for r in rows["signatures"]}
     parts = grouped("tensor_digests", "name")
     stat, layers, odd, prints = grouped("tensor_stats", "ord"), grouped("layer_profile", "layer"), grouped("layer_anomalies", "layer"), grouped("fingerprints", "artifact")
     out = []
-    for r in sorted(scan.tables["reports"].collect(), key=lambda r: (r["kind"], r["artifact"])):
+    for r in sorted(rows["reports"], key=lambda r: (r["kind"], r["artifact"])):
         name, own = r["artifact"], r["kind"] == 1
         hashes = {}
         if own and name in manifest:

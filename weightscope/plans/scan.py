@@ -15,7 +15,7 @@ from weightscope.functions import blake3
 from weightscope.functions import columns as C
 from weightscope.operators import accounting, rollup, signature, stats, text
 from weightscope.sources import readers, walk
-from weightscope.sources.tables import stored
+from weightscope.sources.tables import all_stored, stored, together
 
 FINDINGS = "artifact string, phase int, ord bigint, id string, severity string, detail string, evidence array<string>"
 MANIFEST_TAG = b"weightscope-manifest-v1\n"
@@ -250,7 +250,8 @@ def deep_findings(spark: SparkSession, facts: DataFrame, tensors: DataFrame, sta
     detail = F.when(bad, _s("it is declared as '{}', but its tensors are named as in {}", "declared", "scheme")).otherwise(F.concat(F.lit("built as "), F.coalesce("family", F.lit("unknown")), F.lit(" ("), "scheme", F.lit(")")))
     evidence = F.when(bad, F.concat(F.lit("scheme="), "scheme", F.lit(", declared="), shown("declared"))).otherwise(F.concat(F.lit("layers="), shown("layer_count"), F.lit(", hidden="), shown("hidden"), F.lit(", heads="), shown("n_heads"), F.lit(", vocab="), shown("vocab")))
     parts.append(_f(prints, IDENTITY, 0, F.col("finding"), F.when(bad, "medium").otherwise("info"), detail, evidence))
-    return [stored(p, "findings") for p in parts], profile, stored(prints, "fingerprints")
+    *kept, prints = all_stored("findings", [*parts, prints])
+    return kept, profile, prints
 
 
 def repository_findings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -315,20 +316,37 @@ def run(spark: SparkSession, path: str, *, deep: bool = False, mad_k: float = 5.
     found = walk.artifacts(spark, path)
     facts = stored(readers.facts(found), "facts")
     tensors = stored(tensors_of(facts), "tensors")
-    parts = [
+    sound = tensors.where("format = 'safetensors' and status in ('ok', 'size_mismatch', 'unknown_dtype')")
+
+    def hashes() -> tuple[DataFrame, DataFrame, DataFrame]:
+        parts = sound.select("artifact", "name", F.col("artifact").alias("path"), F.col("start").alias("begin"), F.col("byte_len").alias("len"))
+        made = stored(readers.range_digests(parts, ["artifact", "name"]), "tensor-digests")
+        manifest = stored(manifests(sound, made, manifest_tag), "manifests")
+        return made, manifest, stored(signatures(facts.where("io_error is null"), manifest, bundle, key), "signatures")
+
+    def values() -> tuple | None:
+        if not deep:
+            return None
+        stat = stored(tensor_statistics(tensors), "tensor-stats")
+        return stat, *deep_findings(spark, facts, tensors, stat, mad_k, tensor_entropy)
+
+    unread = [
         _f(facts.where("io_error is not null"), PARSE, 0, "IO_ERROR", "high", F.concat(F.lit("it can't be read: "), "io_error")),
         _f(facts.where("format = 'unknown' and io_error is null"), PARSE, 0, "UNKNOWN_FORMAT", "medium", F.lit("it is no safetensors, GGUF or pickle file")),
-        safetensors_findings(facts, tensors),
-        gguf_findings(facts, tensors),
-        pickle_findings(facts),
     ]
-    parse = reduce(DataFrame.union, [stored(p, "findings") for p in parts])
     readable = facts.where("io_error is null").select("artifact", F.col("artifact").alias("path"), F.lit(0).cast("bigint").alias("begin"), F.col("size").alias("len"))
-    digests = stored(readers.range_digests(readable, ["artifact"]), "digests")
-    sound = tensors.where("format = 'safetensors' and status in ('ok', 'size_mismatch', 'unknown_dtype')")
-    tensor_digests = stored(readers.range_digests(sound.select("artifact", "name", F.col("artifact").alias("path"), F.col("start").alias("begin"), F.col("byte_len").alias("len")), ["artifact", "name"]), "tensor-digests")
-    manifest = stored(manifests(sound, tensor_digests, manifest_tag), "manifests")
-    sig = stored(signatures(facts.where("io_error is null"), manifest, bundle, key), "signatures")
+    # Steps that need facts and tensors alone, side by side: most of a small scan is planning.
+    (tensor_digests, manifest, sig), deeper, (repo, repo_rows), digests, *parse = together(
+        hashes,
+        values,
+        lambda: repository_findings(spark, path),
+        lambda: stored(readers.range_digests(readable, ["artifact"]), "digests"),
+        lambda: stored(gguf_findings(facts, tensors), "findings"),
+        lambda: stored(safetensors_findings(facts, tensors), "findings"),
+        lambda: stored(pickle_findings(facts), "findings"),
+        lambda: stored(reduce(DataFrame.union, unread), "findings"),
+    )
+    parse = reduce(DataFrame.union, parse)
     has = facts.agg(F.coalesce(F.bool_or(F.col("artifact").endswith(".safetensors")), F.lit(False)).alias("has"))
     safer = facts.where("format = 'pickle'").join(F.broadcast(has)).where("has")
     more = [
@@ -337,9 +355,8 @@ def run(spark: SparkSession, path: str, *, deep: bool = False, mad_k: float = 5.
     ]
     scan = Scan(spark, path, found, facts, deep=deep)
     scan.tables = {"tensors": tensors, "digests": digests, "tensor_digests": tensor_digests, "manifests": manifest, "signatures": sig}
-    if deep:
-        stat = stored(tensor_statistics(tensors), "tensor-stats")
-        extra, profile, prints = deep_findings(spark, facts, tensors, stat, mad_k, tensor_entropy)
+    if deeper:
+        stat, extra, profile, prints = deeper
         more += extra
         scan.tables |= {"tensor_stats": stat, "layer_profile": profile, "layer_anomalies": stats.layer_anomalies(profile, ["artifact"], mad_k), "fingerprints": prints}
     other = found.where("size(aliases) > 0").withColumn("n", F.size("aliases"))
@@ -354,7 +371,6 @@ def run(spark: SparkSession, path: str, *, deep: bool = False, mad_k: float = 5.
         .otherwise("clean")
     )
     own = facts.join(worst, "artifact", "left").join(digests, "artifact", "left").select("artifact", "format", "digest", verdict.alias("verdict"), F.lit(1).alias("kind"))
-    repo, repo_rows = repository_findings(spark, path)
     scan.tables["reports"] = own.union(repo_rows)
     scan.findings = parse.withColumn("kind", F.lit(1)).union(reduce(DataFrame.union, more).withColumn("kind", F.lit(1))).union(repo)
     return scan

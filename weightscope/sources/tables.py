@@ -7,6 +7,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +60,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Jobs of one scan that run side by side; they wait for each other's planning more than for the cluster.
+SIDE_BY_SIDE = 8
+
+
+def together(*tasks: Callable):
+    """Results of functions that start Spark jobs of their own, run side by side, in order."""
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        return [f.result() for f in [pool.submit(t) for t in tasks]]
+
+
+def all_stored(label: str, dfs: Iterable[DataFrame]) -> list[DataFrame]:
+    """``stored`` of several tables at once."""
+    return together(*[partial(stored, df, label) for df in dfs])
