@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import os
 import sys
 
@@ -10,6 +11,7 @@ from pyspark.sql import SparkSession
 
 from weightscope import api
 from weightscope import constants as K
+from weightscope.plans.progress import Progress
 
 
 def session() -> SparkSession:
@@ -33,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
     scanned.add_argument("--deep", "--stats", action="store_true", help="statistics of the values")
     scanned.add_argument("--profile", action="store_true", help="layers as bars; implies --deep")
     scanned.add_argument("--scan-tensor-entropy", action="store_true", help="look for noise in integer tensors; implies --deep")
-    scanned.add_argument("--no-progress", action="store_true", help="accepted; Spark shows progress itself")
+    scanned.add_argument("--no-progress", action="store_true", help="no line of progress on a terminal")
     commands.add_parser("scan", parents=[common, scanned])
     verify = commands.add_parser("verify", parents=[common, scanned])
     verify.add_argument("--bundle")
@@ -56,7 +58,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         code = out.exit_code(o.fail_on)
     else:
         deep = o.deep or o.profile or bool(o.svg) or o.scan_tensor_entropy
-        out = api.scan(spark, o.path, deep=deep, mad_k=o.mad_k, tensor_entropy=o.scan_tensor_entropy, bundle=getattr(o, "bundle", None), key=getattr(o, "key", None))
+        with Progress(spark, sys.stderr) if sys.stderr.isatty() and not o.no_progress else contextlib.nullcontext():
+            out = api.scan(spark, o.path, deep=deep, mad_k=o.mad_k, tensor_entropy=o.scan_tensor_entropy, bundle=getattr(o, "bundle", None), key=getattr(o, "key", None))
         code = out.exit_code(o.fail_on, o.allow_empty)
     sys.stdout.write(out.to_json() + "\n" if o.json else out.to_human(color))
     if o.command != "compare" and o.profile and not o.json:

@@ -81,11 +81,3 @@ def pair_sums(s: np.ndarray, b: np.ndarray, eps: float) -> dict:
         out[f"max_{tag}"] = float(np.nanmax(np.abs(x))) if n and not np.isnan(x).all() else 0.0
     return out
 
-
-def byte_entropy(counts: np.ndarray) -> float:
-    """Bits a byte of a histogram; 0 if it is empty."""
-    total = counts.sum()
-    if not total:
-        return 0.0
-    p = counts[counts > 0] / total
-    return float(-(p * np.log2(p)).sum())

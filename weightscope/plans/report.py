@@ -147,6 +147,7 @@ def draw(title: str, values: list[float], odd: dict[int, float]) -> str:
     return (
         f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" viewBox="0 0 {width} {height}"><rect width="{width}" height="{height}" fill="white"/>'
         f'<text x="{pad}" y="24" font-family="sans-serif" font-size="14">{escaped}</text><line x1="{pad}" y1="{y(0):.1f}" x2="{width - pad}" y2="{y(0):.1f}" stroke="#999"/>'
+        f'<polygon points="{x(0):.1f},{y(0):.1f} {line} {x(len(values) - 1):.1f},{y(0):.1f}" fill="#2c5d8a" fill-opacity="0.12"/><text x="{pad}" y="{height - 12}" font-family="sans-serif" font-size="11" fill="#666">{min(values):.4g} to {max(values):.4g}</text>'
         f'<polyline points="{line}" fill="none" stroke="#2c5d8a" stroke-width="2"/>{dots}</svg>\n'
     )
 

@@ -306,14 +306,14 @@ def repository_findings(spark: SparkSession, path: str) -> tuple[DataFrame, Data
     return tagged, py_rows.union(cfg_rows).union(t_rows)
 
 
-def run(spark: SparkSession, path: str, *, deep: bool = False, mad_k: float = 5.0, tensor_entropy: bool = False, bundle: str | None = None, key: str | None = None, manifest_tag: bytes = MANIFEST_TAG) -> Scan:
-    """All tables of a scan of ``path``. The main steps are computed at once and stored.
+def run(spark: SparkSession, path: str, *, deep: bool = False, mad_k: float = 5.0, tensor_entropy: bool = False, bundle: str | None = None, key: str | None = None, manifest_tag: bytes = MANIFEST_TAG, only: list[str] | None = None) -> Scan:
+    """All tables of a scan of ``path``, or of the artifacts in it that ``only`` names. The main steps are computed at once and stored.
 
     Findings of the second phase (``deep``) never change a verdict. Nothing of
     the artifacts is loaded or executed.
     """
     deep = deep or tensor_entropy
-    found = walk.artifacts(spark, path)
+    found = walk.artifacts(spark, path, only)
     facts = stored(readers.facts(found), "facts")
     tensors = stored(tensors_of(facts), "tensors")
     sound = tensors.where("format = 'safetensors' and status in ('ok', 'size_mismatch', 'unknown_dtype')")

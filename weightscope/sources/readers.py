@@ -130,19 +130,30 @@ def range_digests(ranges: DataFrame, keys: list[str]) -> DataFrame:
     return _map_rows(gathered, finish, f"{kinds}, digest string")
 
 
+#: Bytes of a range that one task looks at.
+PART = 64 << 20
+
+
+def _parts(df: DataFrame, size: str) -> DataFrame:
+    """A row for each part of ranges whose length is in column ``size``; an empty range is one part."""
+    last = F.greatest(F.lit(0).cast("bigint"), F.ceil(F.col(size) / PART) - 1)
+    return df.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+
+
 def look_at(regions: DataFrame, keys: list[str]) -> DataFrame:
-    """Byte ranges (keys, path, start, len) with all_zero, magic and preview."""
+    """Byte ranges (keys, path, start, len) with all_zero, magic and preview; long ones are looked at part by part."""
 
     def work(row: dict) -> Iterator[dict]:
         with _data(row) as data:
-            start, end = row["start"], min(len(data), row["start"] + row["len"])
+            start, end = row["start"] + row["i"] * PART, min(len(data), row["start"] + row["len"], row["start"] + (row["i"] + 1) * PART)
             zero = all(not np.frombuffer(data[i : min(end, i + (1 << 24))], np.uint8).any() for i in range(start, end, 1 << 24))
-            head = bytes(data[start : min(end, start + 64)])
-        yield {k: row[k] for k in keys} | {"all_zero": zero, "magic": containers.identify(head), "preview": containers.preview(head)}
+            head = bytes(data[start : min(end, start + 64)]) if not row["i"] else b""
+        yield {k: row[k] for k in keys} | {"i": row["i"], "all_zero": zero, "magic": containers.identify(head), "preview": containers.preview(head)}
 
     kinds = ", ".join(f"{k} {dict(regions.dtypes)[k]}" for k in keys)
-    looked = _map_rows(regions.select(*keys, "path", "start", "len", *_content(regions)), work, f"{kinds}, all_zero boolean, magic string, preview string")
-    return regions.join(looked, keys)
+    looked = _map_rows(_parts(regions, "len").select(*keys, "path", "start", "len", "i", *_content(regions)).repartition(*keys, "i"), work, f"{kinds}, i long, all_zero boolean, magic string, preview string")
+    whole = looked.groupBy(*keys).agg(F.bool_and("all_zero").alias("all_zero"), F.max(F.when(F.col("i") == 0, F.col("magic"))).alias("magic"), F.max(F.when(F.col("i") == 0, F.col("preview"))).alias("preview"))
+    return regions.join(whole, keys)
 
 
 _MOMENTS = "n long, nan_count long, inf_count long, zeros long, min double, max double, max_abs double, mean double, m2 double, m3 double, m4 double"
@@ -189,18 +200,21 @@ def chunk_outliers(tensors: DataFrame, keys: list[str], times: float) -> DataFra
 
 
 def byte_entropies(tensors: DataFrame, keys: list[str]) -> DataFrame:
-    """Bits a byte of the raw bytes of tensors (keys, path, start, byte_len)."""
+    """Bits a byte of the raw bytes of tensors (keys, path, start, byte_len), counted part by part."""
 
     def work(row: dict) -> Iterator[dict]:
         counts = np.zeros(256, np.int64)
         with _data(row) as data:
-            end = row["start"] + row["byte_len"]
-            for i in range(row["start"], end, 1 << 24):
+            end = row["start"] + min(row["byte_len"], (row["i"] + 1) * PART)
+            for i in range(row["start"] + row["i"] * PART, end, 1 << 24):
                 counts += np.bincount(np.frombuffer(data[i : min(end, i + (1 << 24))], np.uint8), minlength=256)
-        yield {k: row[k] for k in keys} | {"entropy": numeric.byte_entropy(counts)}
+        yield {k: row[k] for k in keys} | {"counts": counts.tolist()}
 
     kinds = ", ".join(f"{k} {dict(tensors.dtypes)[k]}" for k in keys)
-    return _map_rows(tensors, work, f"{kinds}, entropy double")
+    counted = _map_rows(_parts(tensors, "byte_len").repartition(*keys, "i"), work, f"{kinds}, counts array<long>")
+    by_byte = counted.select(*keys, F.posexplode("counts").alias("byte", "k")).groupBy(*keys, "byte").agg(F.sum("k").alias("k"))
+    total, some = F.sum("k"), F.when(F.col("k") > 0, F.col("k") * F.log2("k"))
+    return by_byte.groupBy(*keys).agg(F.when(total > 0, F.log2(total) - F.coalesce(F.sum(some), F.lit(0.0)) / total).otherwise(0.0).alias("entropy"))
 
 
 _SUMS = "n long, dot double, diff2 double, changed long, " + ", ".join(f"{t}{k} double" for t in "sb" for k in (1, 2, 3, 4)) + ", max_s double, max_b double"

@@ -36,9 +36,9 @@ def _ext(path: str) -> str:
     return os.path.splitext(path)[1][1:].lower()
 
 
-def artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """artifact, canonical, aliases: one row for each real file. A file is taken as it is, whatever its name."""
-    found = [path] if os.path.isfile(path) else sorted(p for p in files(path) if _ext(p) in K.EXTENSIONS)
+def artifacts(spark: SparkSession, path: str, only: list[str] | None = None) -> DataFrame:
+    """artifact, canonical, aliases: one row for each real file, of a folder or of those that ``only`` names. A file is taken as it is, whatever its name."""
+    found = only if only is not None else [path] if os.path.isfile(path) else sorted(p for p in files(path) if _ext(p) in K.EXTENSIONS)
     rows = spark.createDataFrame([(p, os.path.realpath(p)) for p in found], "path string, canonical string")
     return rollup.aliases(rows)
 
