@@ -17,8 +17,8 @@ def is_finite(x: Column) -> Column:
     return ~(F.isnan(x) | x.isin(float("inf"), float("-inf")))
 
 
-def partial_moments(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Mergeable state of long-form values by ``keys``, from built-in aggregates."""
+def partial_moments(values: DataFrame, keys: list[str], value: str = "value", *also: Column) -> DataFrame:
+    """Mergeable state of long-form values by ``keys``, from built-in aggregates, with any others in ``also``."""
     x = F.col(value).cast("double")
     fin = F.when(is_finite(x), x)
     return values.groupBy(*keys).agg(
@@ -33,6 +33,7 @@ def partial_moments(values: DataFrame, keys: list[str], value: str = "value") ->
         F.coalesce(F.var_pop(fin) * F.count(fin), F.lit(0.0)).alias("m2"),
         F.coalesce(F.skewness(fin) * F.pow(F.var_pop(fin), 1.5) * F.count(fin), F.lit(0.0)).alias("m3"),
         F.coalesce((F.kurtosis(fin) + 3) * F.pow(F.var_pop(fin), 2) * F.count(fin), F.lit(0.0)).alias("m4"),
+        *also,
     )
 
 
@@ -84,7 +85,7 @@ def tensor_stats(values: DataFrame, keys: list[str], value: str = "value") -> Da
     The outlier mass needs the standard deviation first and so a second pass:
     the share of finite values more than six of them from zero.
     """
-    first = describe(partial_moments(values, keys, value).join(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("element_count")), keys))
+    first = describe(partial_moments(values, keys, value, F.count(F.lit(1)).alias("element_count")))
     x = F.col(value).cast("double")
     second = values.join(first.select(*keys, "std"), keys).groupBy(*keys).agg(F.count_if(is_finite(x) & (F.col("std") > 0) & (F.abs(x) > OUTLIER_STDS * F.col("std"))).alias("_out"))
     return first.join(second, keys).withColumn("outlier_mass", F.when(F.col("n") > 0, F.col("_out") / F.col("n"))).drop("_out")

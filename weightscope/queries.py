@@ -89,7 +89,7 @@ _SPOILT = "CASE WHEN (vec_id + pos) % 97 = 0 THEN 'NaN'::DOUBLE WHEN (vec_id + p
     "round(count(*) FILTER (x = 0) / count(*), 6) + 0 AS sparsity, round(max(x) FILTER (isfinite(x)), 6) + 0 AS max, count(*) FILTER (isnan(x)) + count(*) FILTER (isinf(x)) > 0 AS weight_nan_inf FROM s GROUP BY name"
 )
 def sparsity_nan_inf(spark, d):
-    """Spoilt tensors."""
+    """Spoilt tensors."""
     s = stats.tensor_stats(_values(spark, d, True), ["name"])
     return _r(s, "sparsity", "max").select("name", "nan_count", "inf_count", "sparsity", "max", ((F.col("nan_count") > 0) | (F.col("inf_count") > 0)).alias("weight_nan_inf"))
 
@@ -209,7 +209,7 @@ FROM s FULL JOIN b ON s.c = b.c)"""
 
 @query(_SIDES + " SELECT * FROM j WHERE kind NOT IN ('drift', 'deferred')")
 def structural_divergence(spark, d):
-    """D-1, D-3, C32, G10: what one side lacks or has in another shape."""
+    """D-1, D-3, C32, G10, H20: what one side lacks or has in another shape."""
     return drift.align(*_sides(spark, d)).where("kind not in ('drift', 'deferred')").select("canonical_name", "kind")
 
 
@@ -273,7 +273,7 @@ def byte_gaps(spark, d):
 
 @query(f'WITH {_IV}, w AS (SELECT artifact, lag(name) OVER o AS name_a, lag("end") OVER o AS end_a, name AS name_b, "begin" AS begin_b FROM i WINDOW o AS (PARTITION BY artifact ORDER BY "begin", name)) SELECT * FROM w WHERE begin_b < end_a')
 def byte_overlaps(spark, d):
-    """F3, D-12: neighbours that overlap."""
+    """F3, D-12, G2: neighbours by begin, then name, that overlap."""
     return accounting.overlaps(_intervals(spark, d)[0])
 
 
@@ -311,7 +311,7 @@ def _gguf(spark, d):
 
 @query(_GG + ' SELECT artifact, name, type_id, tn AS type_name, byte_len, "offset" FROM h')
 def gguf_byte_len(spark, d):
-    """C6, C7, D-9, E18: sizes by the type table."""
+    """C6, C7, D-9: sizes by the type table."""
     return _gguf(spark, d).select("artifact", "name", "type_id", "type_name", "byte_len", "offset")
 
 
