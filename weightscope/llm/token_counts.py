@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weightscope.llm.common import Memo, new_path, short_batches
+from weightscope.llm.common import Memo, join_hot, new_path, short_batches, stored
 
 CACHE = "content binary, version binary, n_tokens long"
 
@@ -118,13 +118,14 @@ def token_counts(
     each text goes to the library whole.
 
     Returns a row per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit
-    (n_tokens > limit), cached (the count was there before). Null is the empty
-    text (0 bytes, 0 tokens); equal rows give equal rows; a null doc_id stays
-    null; an empty table gives an empty one.
+    (n_tokens > limit). Other columns are ignored. Null is the empty text (0
+    bytes, 0 tokens); equal rows give equal rows; a null doc_id stays null; an
+    empty table gives an empty one.
 
     Distinct misses are found by digest, not by text: a task forwards a text
     only the first time it meets its content, so a group of copies costs one
-    text a task at most, however large it is.
+    text a task at most, however large it is. Digests and sizes are stored for
+    the last join, which doesn't shuffle the rows of very common contents.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -140,14 +141,11 @@ def token_counts(
     had = cached.select("content").distinct()
     _encode_misses(texts.select("content", "text"), had, vocabulary, version, kind).write.mode("append").parquet(cache_path)
 
-    now = (
-        _read(spark, cache_path).where(F.col("version") == F.lit(version)).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    )
-    return (
-        texts.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes"))
-        .join(now, "content", "left")
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+    keyed = stored(texts.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    now = _read(spark, cache_path).where(F.col("version") == F.lit(version)).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = keyed.groupBy("content").agg(F.count(F.lit(1)).alias("rows"))
+    found = join_hot(keyed, stored(counts.join(now, "content"), "counts"), "content", "rows")
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
