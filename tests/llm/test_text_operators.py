@@ -150,6 +150,10 @@ def test_joins_with_hot_keys(spark):
     right = left.groupBy("k").count().withColumn("v", F.upper("k"))
     got = common.join_hot(left, right, "k", "count")
     assert sorted((r["i"], r["v"]) for r in got.collect()) == [(i, "HOT" if i % 3 else f"K{i}") for i in range(4000)]
+    got = common.join_salted(left, right.where("k < 'k2'"), "k", "count", "i")
+    assert got.columns == ["k", "i", "v"]
+    key = lambda i: "hot" if i % 3 else f"k{i}"
+    assert sorted((r["i"], r["v"] or "") for r in got.collect()) == [(i, key(i).upper() if key(i) < "k2" else "") for i in range(4000)]
 
 
 def test_keep_one(docs, empty):

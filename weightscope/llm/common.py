@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weightscope.sources.tables import new_path, stored
 
-__all__ = ["boxed", "join_hot", "map_batches", "Memo", "new_path", "pieces", "short_batches", "stored"]
+__all__ = ["boxed", "join_hot", "join_salted", "map_batches", "Memo", "new_path", "pieces", "short_batches", "stored"]
 
 #: Rows in one Arrow batch. Texts are long, so a batch is kept short: its
 #: memory is this many times the mean text, not 10,000 times.
@@ -39,6 +39,26 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFra
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(right.where(F.col(count) <= most), key))
 
 
+#: Parts that the rows of a hot key are dealt to.
+SALTS = 64
+
+
+def join_salted(left: DataFrame, right: DataFrame, key: str, count: str, by: str) -> DataFrame:
+    """Left join of ``left`` with ``right``, which has one row a key and in ``count`` the rows of ``left`` that have it.
+
+    For rows too large to be handled twice: a key with over one in
+    ``HOT_SHARE`` of the rows that ``right`` counts is dealt out by column
+    ``by`` to ``SALTS`` parts, each with a copy of its row of ``right``, so that
+    one shuffle is even. Which keys those are is broadcast: fewer than
+    ``HOT_SHARE``. Adds no columns but those of ``right`` without ``count``.
+    """
+    most = right.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0] // HOT_SHARE
+    hot = right.where(F.col(count) > max(1, most)).select(key, F.lit(True).alias("_hot"))
+    salted = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.col(by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    salts = F.when(F.col(count) > max(1, most), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(right.withColumn("_salt", F.explode(salts)), [key, "_salt"], "left").drop("_salt", "_hot", count)
+
+
 def boxed(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
     """``df`` with its columns named c0, c1 and so on, and what ``text`` is called there.
 

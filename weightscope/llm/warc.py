@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weightscope.llm.common import new_path, stored
+from weightscope.llm.common import join_salted, new_path, stored
 
 CRLF = "\r\n"
 #: Captures in one archive file at most: what a reader has in memory is one such file as stored.
@@ -32,7 +32,8 @@ def with_roles(pages: DataFrame, shared: int = SHARED_BYTES) -> DataFrame:
 
     Of rows with equal payloads of ``shared`` bytes at least, those of the
     largest page_id are responses; refers_to of the others is that page_id.
-    Only digests are grouped; of them, only those that repeat are joined back.
+    Only digests are grouped; of them, only those that repeat are joined back,
+    and a payload that very many pages share is dealt out.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -41,8 +42,8 @@ def with_roles(pages: DataFrame, shared: int = SHARED_BYTES) -> DataFrame:
         F.monotonically_increasing_id().alias("seq"),
     ).withColumns({"digest": F.sha1("html"), "payload_bytes": F.octet_length("html").cast("long")})
     groups = rows.where(F.col("payload_bytes") >= shared).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
-    repeated = groups.where("n > 1 and last is not null").select("digest", "last")
-    marked = rows.join(repeated, "digest", "left")
+    repeated = stored(groups.where("n > 1 and last is not null"), "repeated")
+    marked = join_salted(rows, repeated, "digest", "n", "seq")
     return marked.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))).drop("last")
 
 
