@@ -1,10 +1,12 @@
 """Folders that are watched, progress, and ranges that are read part by part."""
 
 import io
+import json
 import types
 
-from make import EVIL, safetensors
+from make import EVIL, layered, safetensors
 
+from weightscope.plans import report, scan
 from weightscope.plans.progress import Progress
 from weightscope.sources import readers
 from weightscope.streaming.watch import watch
@@ -41,3 +43,14 @@ def test_ranges_are_read_in_parts(spark, monkeypatch):
     assert got == {"a": (True, None), "b": (False, "an ELF executable"), "c": (False, None), "d": (True, None)}
     bits = {r["artifact"]: r["entropy"] for r in readers.byte_entropies(df, ["artifact"]).collect()}
     assert bits["a"] == 0 == bits["d"] and abs(bits["c"] - 0.0807931) < 1e-6
+
+
+def test_documents_of_executors(spark, tmp_path):
+    nan = b"\0\0\xc0\x7f"
+    layered(tmp_path / "m.safetensors", scale={2: 90.0}, extra={"model.layers.0.z": ("F32", [2], nan * 2)})
+    (tmp_path / "b.pkl").write_bytes(EVIL)
+    (tmp_path / "x.py").write_text("import os\nos.system(1)\n")
+    found = scan.run(spark, str(tmp_path), deep=True)
+    want = report.collect(found).artifacts
+    got = sorted(((r["kind"], r["artifact"]), json.loads(r["report"])) for r in report.documents(found).collect())
+    assert [g for _, g in got] == json.loads(json.dumps(report.plain(want))) and len(got) == 3

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from weightscope.plans import compare as _compare
 from weightscope.plans import report as _report
@@ -22,6 +22,11 @@ def scan(spark: SparkSession, path: str, **options) -> Report:
     return _report.collect(_scan.run(spark, path, **options))
 
 
+def scan_documents(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Scan and report as a table of JSON texts, one an artifact, that executors make."""
+    return _report.documents(_scan.run(spark, path, **options))
+
+
 def verify(spark: SparkSession, path: str, bundle: str | None = None, key: str | None = None, **options) -> Report:
     """Scan with a signature file and a public key for every artifact."""
     return scan(spark, path, bundle=bundle, key=key, **options)

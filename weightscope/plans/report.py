@@ -1,11 +1,18 @@
-"""Reports: what the driver shows of a scan or a comparison. Only report rows come here."""
+"""Reports: what the driver shows of a scan or a comparison, or executors write of very many artifacts."""
 
 from __future__ import annotations
 
 import json
 import math
 import os
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weightscope import constants as K
 from weightscope.plans.scan import Scan
@@ -13,6 +20,9 @@ from weightscope.sources.tables import together
 
 STATS = ("nan_count", "inf_count", "min", "max", "max_abs", "mean", "std", "l2_norm", "rms", "kurtosis", "sparsity", "outlier_mass")
 PROFILE = ("layer", "l2", "mean_kurtosis", "max_abs", "params", "sparsity")
+#: Columns whose numbers may be none, and how Spark writes those as JSON.
+NUMBERS = frozenset((*STATS, *PROFILE, "mads"))
+UNREAL = {"NaN": math.nan, "Infinity": math.inf, "-Infinity": -math.inf}
 
 
 def plain(x):
@@ -157,43 +167,52 @@ def _finding(r) -> dict:
     return out | ({"evidence": list(r["evidence"])} if r["evidence"] else {})
 
 
-def collect(scan: Scan) -> Report:
-    """The report of a scan."""
-    wanted = ("findings", "manifests", "signatures", "reports", "tensor_digests", "tensor_stats", "layer_profile", "layer_anomalies", "fingerprints")
+#: The tables that a report is made of, and what orders their rows in it.
+PARTS = {
+    "reports": (), "findings": ("phase", "ord", "id", "detail"), "manifests": (), "signatures": (), "tensor_digests": ("name",), "tensor_stats": ("ord",),
+    "layer_profile": ("layer",), "layer_anomalies": ("layer",), "fingerprints": (),
+}
+
+
+def _assemble(parts: dict[str, list]) -> dict:
+    """The report of one artifact from its rows of each table, which are mappings."""
+    rows = {name: sorted(parts.get(name, ()), key=lambda r: tuple(r[c] for c in order)) for name, order in PARTS.items()}  # noqa: B023
+    r, hashes = rows["reports"][0], {}
+    one = lambda name, column: rows[name][0][column] if rows[name] else None
+    if one("manifests", "manifest"):
+        hashes["manifest"] = one("manifests", "manifest")
+    if r["digest"]:
+        hashes["file"] = f"blake3:{r['digest']}"
+    if rows["tensor_digests"]:
+        hashes["per_tensor"] = {t["name"]: f"blake3:{t['digest']}" for t in rows["tensor_digests"]}
+    doc = {"artifact": r["artifact"], "format": r["format"], "verdict": r["verdict"], "findings": [_finding(f) for f in rows["findings"]]}
+    if hashes:
+        doc["hashes"] = hashes
+    doc["signature"] = one("signatures", "status") or "unsigned"
+    if rows["tensor_stats"]:
+        doc["stats"] = {"per_tensor": [_tensor(t) for t in rows["tensor_stats"]]}
+    if rows["layer_profile"]:
+        bad = {a["layer"]: {"metric": a["metric"], "mads": a["mads"], "severity": a["severity"]} for a in rows["layer_anomalies"]}
+        doc["layer_profile"] = [{k: p[k] for k in PROFILE} | {"anomaly": bad.get(p["layer"])} for p in rows["layer_profile"]]
+    if rows["fingerprints"]:
+        p = rows["fingerprints"][0]
+        doc["fingerprint"] = {"scheme": p["scheme"], "detected_family": p["family"], "declared": p["declared"], "layer_count": p["layer_count"], "hidden": p["hidden"], "n_heads": p["n_heads"], "vocab": p["vocab"]}
+    return doc
+
+
+def _tables(scan: Scan) -> dict[str, DataFrame]:
+    """The tables of ``PARTS`` that a scan has; those without a kind are about artifacts, which are of the first."""
     tables = {"findings": scan.findings, **scan.tables}
-    names = [n for n in wanted if n in tables]
-    rows = dict(zip(names, together(*[tables[n].collect for n in names]), strict=True))
-    found: dict[tuple, list[dict]] = {}
-    for r in sorted(rows["findings"], key=lambda r: (r["kind"], r["artifact"], r["phase"], r["ord"], r["id"], r["detail"])):
-        found.setdefault((r["kind"], r["artifact"]), []).append(_finding(r))
-    grouped = lambda name, order: _group(rows.get(name, ()), order)
-    manifest = {r["artifact"]: r["manifest"] for r in rows["manifests"]}
-    status = {r["artifact"]: r["status"] for r in rows["signatures"]}
-    parts = grouped("tensor_digests", "name")
-    stat, layers, odd, prints = grouped("tensor_stats", "ord"), grouped("layer_profile", "layer"), grouped("layer_anomalies", "layer"), grouped("fingerprints", "artifact")
-    out = []
-    for r in sorted(rows["reports"], key=lambda r: (r["kind"], r["artifact"])):
-        name, own = r["artifact"], r["kind"] == 1
-        hashes = {}
-        if own and name in manifest:
-            hashes["manifest"] = manifest[name]
-        if r["digest"]:
-            hashes["file"] = f"blake3:{r['digest']}"
-        if own and name in parts:
-            hashes["per_tensor"] = {t["name"]: f"blake3:{t['digest']}" for t in parts[name]}
-        doc = {"artifact": name, "format": r["format"], "verdict": r["verdict"], "findings": found.get((r["kind"], name), [])}
-        if hashes:
-            doc["hashes"] = hashes
-        doc["signature"] = status.get(name, "unsigned") if own else "unsigned"
-        if own and name in stat:
-            doc["stats"] = {"per_tensor": [_tensor(t) for t in stat[name]]}
-        if own and name in layers:
-            bad = {a["layer"]: {"metric": a["metric"], "mads": a["mads"], "severity": a["severity"]} for a in odd.get(name, [])}
-            doc["layer_profile"] = [{k: p[k] for k in PROFILE} | {"anomaly": bad.get(p["layer"])} for p in layers[name]]
-        if own and name in prints:
-            p = prints[name][0]
-            doc["fingerprint"] = {"scheme": p["scheme"], "detected_family": p["family"], "declared": p["declared"], "layer_count": p["layer_count"], "hidden": p["hidden"], "n_heads": p["n_heads"], "vocab": p["vocab"]}
-        out.append(doc)
+    return {n: tables[n] if "kind" in tables[n].columns else tables[n].withColumn("kind", F.lit(1)) for n in PARTS if n in tables}
+
+
+def collect(scan: Scan) -> Report:
+    """The report of a scan, on the driver: for as many artifacts as a reader can look through. ``documents`` is for more."""
+    tables, by = _tables(scan), {}
+    for name, rows in zip(tables, together(*[t.collect for t in tables.values()]), strict=True):
+        for r in rows:
+            by.setdefault((r["kind"], r["artifact"]), {}).setdefault(name, []).append(r)
+    out = [_assemble(by[key]) for key in sorted(by) if "reports" in by[key]]
     if out:
         return Report(out)
     there = os.path.exists(scan.path)
@@ -201,11 +220,25 @@ def collect(scan: Scan) -> Report:
     return Report([{"artifact": scan.path, "format": "unknown", "verdict": "empty" if there else "error", "findings": [one], "signature": "unsigned"}], True)
 
 
-def _group(rows, order: str) -> dict[str, list]:
-    out: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: r[order]):
-        out.setdefault(r["artifact"], []).append(r)
-    return out
+def documents(scan: Scan) -> DataFrame:
+    """artifact, kind and report: one JSON text an artifact, as in ``collect``, put together by the executors.
+
+    The rows about an artifact are dealt to one task, which holds one report at
+    a time; write the result wherever reports of very many artifacts belong.
+    """
+    parts = [t.select("kind", "artifact", F.lit(n).alias("part"), F.to_json(F.struct(*t.columns), {"ignoreNullFields": "false"}).alias("row")) for n, t in _tables(scan).items()]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in batch.to_pylist())
+        for (kind, artifact), own in groupby(rows, key=lambda r: (r["kind"], r["artifact"])):
+            held: dict[str, list] = {}
+            for r in own:
+                held.setdefault(r["part"], []).append({k: UNREAL.get(v, v) if k in NUMBERS and isinstance(v, str) else v for k, v in json.loads(r["row"]).items()})
+            if "reports" in held:
+                yield pa.RecordBatch.from_pylist([{"artifact": artifact, "kind": kind, "report": json.dumps(plain(_assemble(held)), ensure_ascii=False)}], schema)
+
+    schema = pa.schema([("artifact", pa.string()), ("kind", pa.int32()), ("report", pa.string())])
+    return reduce(DataFrame.union, parts).repartition("kind", "artifact").sortWithinPartitions("kind", "artifact").mapInArrow(run, "artifact string, kind int, report string")
 
 
 def _tensor(r) -> dict:
