@@ -130,11 +130,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 13, block_bytes:
     """
     kept = docs.drop("leak")
     inner, text = boxed(kept)
-    return _find(inner, text, benchmark, n, block_bytes).toDF(*kept.columns, "leak")
+    return _scan(*_all_but_one(inner, text, benchmark, n, block_bytes)).toDF(*kept.columns, "leak")
 
 
-def _find(docs: DataFrame, text: str, benchmark: DataFrame, n: int, block_bytes: int) -> DataFrame:
-    """``docs`` (of ``boxed``) with a last column ``leak``."""
+def _all_but_one(docs: DataFrame, text: str, benchmark: DataFrame, n: int, block_bytes: int) -> tuple:
+    """``docs`` (of ``boxed``) with a last column ``leak`` of all blocks' hits but the first's, ``text``, and the first block, broadcast."""
     send = docs.sparkSession.sparkContext.broadcast
     blocks = _blocks(benchmark, block_bytes)
     first = Windows.of(next(blocks), n)
@@ -147,11 +147,11 @@ def _find(docs: DataFrame, text: str, benchmark: DataFrame, n: int, block_bytes:
         others.append(stored(found.where(F.size("leak.hits") > 0).select("_key", "leak"), "hits"))
         block.destroy()
     if keyed is None:
-        return _scan(docs.withColumn("leak", none), text, send(first))
+        return docs.withColumn("leak", none), text, send(first)
     gathered = reduce(DataFrame.union, others).groupBy("_key").agg(
         F.struct(F.max("leak.n_words").alias("n_words"), F.flatten(F.collect_list("leak.hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("leak.items"))).alias("items")).alias("leak")
     )
-    return _scan(keyed.join(gathered, "_key", "left").select(*docs.columns, F.col("leak").cast(_LEAK).alias("leak")), text, send(first))
+    return keyed.join(gathered, "_key", "left").select(*docs.columns, F.col("leak").cast(_LEAK).alias("leak")), text, send(first)
 
 
 _LEAK = "struct<n_words: bigint, hits: array<struct<start: int, end: int>>, items: array<string>>"
@@ -159,44 +159,46 @@ _LEAK = "struct<n_words: bigint, hits: array<struct<start: int, end: int>>, item
 
 def _scan(docs: DataFrame, text: str, block) -> DataFrame:
     """``docs`` whose last column, ``leak``, also has the hits of the windows in the broadcast ``block``."""
-    place = docs.columns.index(text)
+    place, names = docs.columns.index(text), docs.columns
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        windows = block.value
-        get, texts, old = windows.ids.get, batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-        leaks = []
-        for part in pieces(texts):
-            words, starts = [], [0]
-            for i in part:
-                words += words_of(texts[i])
-                starts.append(len(words) + 1)
-                words.append(b"")
-            ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-            edge = np.zeros(len(ids) + 1, np.int64)  # +1 where a hit window starts, -1 where it ends
-            seen: dict[int, set] = defaultdict(set)
-            for size, (at, which) in windows.scan(ids).items():
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + size, -1)
-                for doc, w in set(zip((np.searchsorted(starts, at, "right") - 1).tolist(), which.tolist(), strict=True)):
-                    seen[doc].update(windows.by_length[size][2][w].tolist())
-            covered = np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8)])
-            begins, ends = np.flatnonzero(np.diff(covered) == 1), np.flatnonzero(np.diff(covered) == -1)
-            first = np.searchsorted(begins, starts)
-            for k, i in enumerate(part):
-                low = starts[k]
-                hits = [(int(b) - low, int(e) - low) for b, e in zip(begins[first[k] : first[k + 1]], ends[first[k] : first[k + 1]], strict=True)]
-                items = {windows.items[x] for x in seen.get(k, ())} - {None}
-                if old[i]:
-                    hits = _union(hits + [(h["start"], h["end"]) for h in old[i]["hits"]])
-                    items |= set(old[i]["items"])
-                leaks.append({"n_words": starts[k + 1] - low - 1, "hits": [{"start": b, "end": e} for b, e in hits], "items": sorted(items)})
-        columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(leaks, _ARROW_LEAK)], names)
+        leaks = _leaks(block.value, batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(leaks, _ARROW_LEAK)], names)
 
-    names = docs.columns
     return map_batches(docs, work, docs.schema)
 
 
+def _leaks(windows: Windows, texts: list, old: list) -> list[dict]:
+    """The value of ``leak`` of each text, with what was found ``old``."""
+    get, leaks = windows.ids.get, []
+    for part in pieces(texts):
+        words, starts = [], [0]
+        for i in part:
+            words += words_of(texts[i])
+            starts.append(len(words) + 1)
+            words.append(b"")
+        ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
+        edge = np.zeros(len(ids) + 1, np.int64)  # +1 where a hit window starts, -1 where it ends
+        seen: dict[int, set] = defaultdict(set)
+        for size, (at, which) in windows.scan(ids).items():
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + size, -1)
+            for doc, w in set(zip((np.searchsorted(starts, at, "right") - 1).tolist(), which.tolist(), strict=True)):
+                seen[doc].update(windows.by_length[size][2][w].tolist())
+        covered = np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8)])
+        begins, ends = np.flatnonzero(np.diff(covered) == 1), np.flatnonzero(np.diff(covered) == -1)
+        first = np.searchsorted(begins, starts)
+        for k, i in enumerate(part):
+            low = starts[k]
+            hits = [(int(b) - low, int(e) - low) for b, e in zip(begins[first[k] : first[k + 1]], ends[first[k] : first[k + 1]], strict=True)]
+            items = {windows.items[x] for x in seen.get(k, ())} - {None}
+            if old[i]:
+                hits = _union(hits + [(h["start"], h["end"]) for h in old[i]["hits"]])
+                items |= set(old[i]["items"])
+            leaks.append({"n_words": starts[k + 1] - low - 1, "hits": [{"start": b, "end": e} for b, e in hits], "items": sorted(items)})
+    return leaks
+
+
 _ARROW_LEAK = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
 
@@ -233,21 +235,22 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     name, an empty table gives an empty one.
     """
     inner, text = boxed(docs)
-    found = _find(inner, text, benchmark, n, block_bytes)
-    n_hit = F.aggregate("leak.hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    kept = found.where((F.size("leak.hits") == 0) | (share * n_hit < F.col("leak.n_words")))
+    marked, text, block = _all_but_one(inner, text, benchmark, n, block_bytes)
     place, names = inner.columns.index(text), inner.columns
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(place).to_pylist()
-        for i, leak in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-            if leak["hits"]:
-                texts[i] = cut_words(texts[i], [(h["start"], h["end"]) for h in leak["hits"]])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Found, judged and cut in one worker."""
+        texts, keep = batch.column(place).to_pylist(), []
+        for i, leak in enumerate(_leaks(block.value, texts, batch.column(batch.num_columns - 1).to_pylist())):
+            runs = [(h["start"], h["end"]) for h in leak["hits"]]
+            if not runs or share * sum(e - b for b, e in runs) < leak["n_words"]:
+                keep.append(i)
+                texts[i] = cut_words(texts[i], runs) if runs else texts[i]
         columns = [batch.column(i) for i in range(batch.num_columns - 1)]
         columns[place] = pa.array(texts, pa.string())
-        return pa.RecordBatch.from_arrays(columns, names)
+        return pa.RecordBatch.from_arrays(columns, names).take(pa.array(keep, pa.int64()))
 
-    return map_batches(kept, cut, inner.schema).toDF(*docs.columns)
+    return map_batches(marked, work, inner.schema).toDF(*docs.columns)
 
 
 def cut_words(text: str, runs: list[tuple[int, int]]) -> str:
