@@ -51,6 +51,10 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a row group of an intermediate table: what a task holds of it while writing.
+ROW_GROUP = 32 << 20
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -58,7 +62,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     the loss of any executor without computing ``df`` again.
     """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
