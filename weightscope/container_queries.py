@@ -24,17 +24,27 @@ from weightscope.sources import readers
 
 
 def _files(rows: DataFrame, make: Callable[[dict], bytes], key: str) -> DataFrame:
-    """``artifact`` (the key as text) and ``content`` of a file for each row."""
+    """``artifact`` (the key as text) and ``content`` of a file for each row.
+
+    Rows are dealt out while they are small; files then stay where they are made.
+    """
 
     def work(row: dict) -> Iterator[dict]:
         yield {"artifact": str(row[key]), "content": make(row)}
 
-    return readers._map_rows(rows, work, "artifact string, content binary")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return readers._map_rows(rows.repartition(n, key), work, "artifact string, content binary")
+
+
+def _tensors(files: DataFrame, kind: str = "safetensors") -> DataFrame:
+    """The tensors of ``files``."""
+    return scan.tensors_of(readers.facts(files), (kind,))
 
 
-def _tensors(files: DataFrame) -> DataFrame:
-    """The tensors of ``files``, with their files' bytes."""
-    return scan.tensors_of(readers.facts(files)).join(files, "artifact")
+def _payloads(files: DataFrame, kind: str = "safetensors") -> DataFrame:
+    """The tensors of ``files``, each with its own bytes as ``content``, in which it starts at 0."""
+    t = scan.tensors_of(readers.facts(files, keep=True), (kind,))
+    return readers.cut_content(t, F.col("start"), F.coalesce("avail_len", "byte_len")).withColumn("start", F.lit(0).cast("bigint"))
 
 
 def _moments(tensors: DataFrame, *keys: str) -> DataFrame:
@@ -96,7 +106,7 @@ UNION ALL SELECT artifact, 'lab', 1, label, label, label FROM e WHERE k <> 2"""
 )
 def safetensors_values(spark, d):
     """Values of sound tensors, those of no known type deferred."""
-    t = _tensors(_files(_t(spark, d, "embeddings"), _embedding, "vec_id")).where("status <> 'out_of_bounds'")
+    t = _payloads(_files(_t(spark, d, "embeddings"), _embedding, "vec_id")).where("status <> 'out_of_bounds'")
     return _r(_moments(t, "artifact", "name"), "total")
 
 
@@ -118,7 +128,7 @@ SELECT artifact, name, 2::BIGINT AS n, least(x, y)::DOUBLE AS "min", greatest(x,
 )
 def dtype_decode(spark, d):
     """The ten element types to doubles."""
-    return _r(_moments(_tensors(_files(_t(spark, d, "part"), _dtypes, "p_partkey")), "artifact", "name"), "total")
+    return _r(_moments(_payloads(_files(_t(spark, d, "part").select("p_partkey", "p_size"), _dtypes, "p_partkey")), "artifact", "name"), "total")
 
 
 @query(
@@ -129,7 +139,7 @@ SELECT artifact, round(-sum(k / total * log2(k / total)), 6) + 0 AS entropy FROM
 def tensor_entropy(spark, d):
     """Bits a byte of whole texts as tensors of bytes."""
     f = _files(_t(spark, d, "documents").select("doc_id", "text"), lambda r: _safetensors({"t": ("U8", [len((r["text"] or "").encode())], (r["text"] or "").encode())}), "doc_id")
-    t = _tensors(f).withColumn("path", F.col("artifact"))
+    t = _payloads(f).withColumn("path", F.col("artifact"))
     return _r(readers.byte_entropies(t, ["artifact"]), "entropy")
 
 
@@ -178,14 +188,14 @@ UNION ALL SELECT artifact, 'blk.9.late', 'Q4_K', '256', CASE WHEN k % 10 > 0 THE
 )
 def gguf_read(spark, d):
     """A8, A9, B3, B5, B6, C5, C6, D-9: tensors of GGUF files."""
-    t = _tensors(_files(_t(spark, d, "supplier"), _gguf, "s_suppkey"))
+    t = _tensors(_files(_t(spark, d, "supplier").select("s_suppkey", "s_name"), _gguf, "s_suppkey"), "gguf")
     return t.select("artifact", "name", "type_name", F.array_join(F.col("shape").cast("array<string>"), "x").alias("shape"), "begin", "byte_len", "status")
 
 
 @query(f"WITH {_SUP} SELECT artifact, unnest(['general.architecture', 'general.name', 'general.alignment', 'tokens', 'llama.block_count']) AS key, unnest(['llama', s_name, NULL, NULL, NULL]) AS text, unnest([NULL, NULL, 64, NULL, k]) AS number FROM s")
 def gguf_metadata(spark, d):
     """Metadata values; arrays are passed over."""
-    f = readers.facts(_files(_t(spark, d, "supplier"), _gguf, "s_suppkey"))
+    f = readers.facts(_files(_t(spark, d, "supplier").select("s_suppkey", "s_name"), _gguf, "s_suppkey"))
     return f.select("artifact", F.explode("kv").alias("v")).select("artifact", "v.key", "v.text", "v.number")
 
 
@@ -196,13 +206,13 @@ SELECT artifact, name, count(*) AS n, min(x) AS "min", max(x) AS "max", round(su
 )
 def block_decode(spark, d):
     """Values of the legacy block types."""
-    return _r(_moments(_tensors(_files(_t(spark, d, "supplier"), _gguf, "s_suppkey")), "artifact", "name"), "total")
+    return _r(_moments(_payloads(_files(_t(spark, d, "supplier").select("s_suppkey", "s_name"), _gguf, "s_suppkey"), "gguf"), "artifact", "name"), "total")
 
 
 @query(f"WITH {_SUP} SELECT artifact, 'Q4_K' AS types, 5::BIGINT AS decoded FROM s WHERE k % 10 > 0 UNION ALL SELECT artifact, '', 5 FROM s WHERE k % 10 = 0")
 def deferred_types(spark, d):
     """Which sound tensors have statistics, and the types of those that have none."""
-    st = scan.tensor_statistics(_tensors(_files(_t(spark, d, "supplier"), _gguf, "s_suppkey")))
+    st = scan.tensor_statistics(_payloads(_files(_t(spark, d, "supplier").select("s_suppkey", "s_name"), _gguf, "s_suppkey"), "gguf"))
     late = F.array_sort(F.collect_set(F.when(F.col("quality") != "full", F.col("type_name"))))
     return st.groupBy("artifact").agg(F.array_join(late, ", ").alias("types"), F.count_if((F.col("quality") == "full") & (F.col("n") == 32)).alias("decoded"))
 
@@ -276,7 +286,7 @@ def file_digests(spark, d):
 def manifest_hashes(spark, d):
     """Hashes of models by names, types, shapes and contents of their tensors."""
     make = lambda r: _safetensors({"emb": ("F32", [len(r["embedding"])], struct.pack(f"<{len(r['embedding'])}f", *r["embedding"])), "lab": ("I64", [1], struct.pack("<q", r["label"]))}, {"id": str(r["vec_id"])})
-    t = _tensors(_files(_t(spark, d, "embeddings"), make, "vec_id"))
+    t = _payloads(_files(_t(spark, d, "embeddings"), make, "vec_id"))
     ranges = t.select("artifact", "name", F.col("artifact").alias("path"), F.col("start").alias("begin"), F.col("byte_len").alias("len"), "content")
     made = scan.manifests(t, readers.range_digests(ranges, ["artifact", "name"]))
     return made.join(made.groupBy("manifest").agg(F.count(F.lit(1)).alias("alike")), "manifest").select("artifact", "alike")

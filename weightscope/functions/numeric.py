@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 _PLAIN = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "I64": "<i8", "I32": "<i4", "I16": "<i2", "I8": "i1", "U8": "u1"}
@@ -70,6 +72,45 @@ def moments(values: np.ndarray) -> dict:
     return out
 
 
+#: Values up to which tensors of one kind and size are taken together, and how many values at a time.
+SMALL, TOGETHER = 4096, 1 << 18
+
+
+def moments_of(chunks: Iterable[tuple[bytes, str, int | None]]) -> list[dict]:
+    """``moments`` of many chunks (bytes, kind, elements as for ``decode``); small ones of equal size are decoded and summed at once."""
+    out, alike = [], {}
+    for i, (raw, kind, elements) in enumerate(chunks):
+        per, width = unit(kind)
+        whole = len(raw) // width * width
+        out.append(None)
+        if not whole or elements == 0 or whole // width * per > SMALL:
+            out[i] = moments(decode(raw, kind, elements))
+            continue
+        alike.setdefault((kind, whole, elements), []).append((i, raw[:whole]))
+    for (kind, whole, elements), found in alike.items():
+        per, width = unit(kind)
+        step = max(1, TOGETHER // (whole // width * per))
+        for at in range(0, len(found), step):
+            some = found[at : at + step]
+            values = decode(b"".join(raw for _, raw in some), kind).reshape(len(some), -1)[:, :elements]
+            for (i, _), made in zip(some, _moments_of_rows(values), strict=True):
+                out[i] = made
+    return out
+
+
+def _moments_of_rows(values: np.ndarray) -> list[dict]:
+    """``moments`` of every row; rows with values that aren't finite one by one."""
+    good = np.isfinite(values).all(1)
+    x = np.where(good[:, None], values, 0.0)
+    mean = x.mean(1)
+    d = x - mean[:, None]
+    d2 = d * d
+    cols = {"zeros": (x == 0).sum(1), "min": x.min(1), "max": x.max(1), "max_abs": np.abs(x).max(1), "mean": mean, "m2": d2.sum(1), "m3": (d2 * d).sum(1), "m4": (d2 * d2).sum(1)}
+    same = {"n": x.shape[1], "nan_count": 0, "inf_count": 0}
+    rows = zip(*[c.tolist() for c in cols.values()], strict=True)
+    return [same | dict(zip(cols, row, strict=True)) if ok else moments(values[i]) for i, (ok, row) in enumerate(zip(good, rows, strict=True))]
+
+
 def pair_sums(s: np.ndarray, b: np.ndarray, eps: float) -> dict:
     """Mergeable sums of values of two tensors, place by place, up to the shorter one's end."""
     n = min(len(s), len(b))

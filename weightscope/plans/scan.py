@@ -54,18 +54,31 @@ class Scan:
             df.createOrReplaceTempView(prefix + name)
 
 
-def tensors_of(facts: DataFrame) -> DataFrame:
-    """One row a tensor: its spec, where its bytes start, how they are decoded and whether all is in order."""
-    t = facts.where("format in ('safetensors', 'gguf') and header_error is null and seg_len is not null").select("artifact", "format", "data_start", "seg_len", "alignment", "info_end", F.explode("tensors").alias("t")).select("artifact", "format", "data_start", "seg_len", "alignment", "info_end", "t.*")
-    st = accounting.check_specs(t.where("format = 'safetensors'"))
-    decode = F.when(F.col("dtype").isin(*K.DECODABLE), F.col("dtype"))
-    st = st.withColumn("status", F.when(F.col("problem").isNotNull(), "malformed").otherwise(F.col("status"))).withColumns({"type_name": F.col("dtype"), "decode": decode, "byte_len": F.col("end") - F.col("begin"), "start": F.col("data_start") + F.col("begin")})
-    gg = accounting.byte_lengths(t.where("format = 'gguf'").withColumn("dims", F.col("shape"))).withColumn("offset", F.col("begin"))
-    ends = facts.where("format = 'gguf' and seg_len is not null").select("artifact", "seg_len")
-    gg = accounting.available(gg.drop("seg_len"), ends).join(ends, "artifact")
-    gg = gg.withColumns({"status": F.when(F.col("offset") > F.col("seg_len"), "out_of_bounds").otherwise("ok"), "expected": F.lit(None).cast("decimal(38,0)"), "start": F.col("data_start") + F.col("offset")})
-    names = ["artifact", "format", "ord", "name", "type_name", "decode", "shape", "begin", "end", "byte_len", "start", "status", "problem", "expected", "seg_len", "data_start", "info_end", "alignment"]
-    return st.withColumn("avail_len", F.col("byte_len")).select(*names, "avail_len").unionByName(gg.select(*names, "avail_len"))
+def tensors_of(facts: DataFrame, formats: tuple[str, ...] = ("safetensors", "gguf")) -> DataFrame:
+    """One row a tensor: its spec, where its bytes start, how they are decoded and whether all is in order.
+
+    ``facts`` is read once for each of ``formats``. Where facts have their
+    files' ``content``, tensors have it too.
+    """
+    names = ["artifact", "format", "ord", "name", "type_name", "decode", "shape", "begin", "end", "byte_len", "start", "status", "problem", "expected", "seg_len", "data_start", "info_end", "alignment", "avail_len", *readers._content(facts)]
+    of_file = ["artifact", "format", "data_start", "seg_len", "alignment", "info_end", *readers._content(facts)]
+    sound = facts.where("header_error is null and seg_len is not null")
+    parts = []
+    if "safetensors" in formats:
+        t = sound.where("format = 'safetensors'").select(*of_file, F.explode("tensors").alias("t")).select(*of_file, "t.*")
+        decode = F.when(F.col("dtype").isin(*K.DECODABLE), F.col("dtype"))
+        st = accounting.check_specs(t)
+        st = st.withColumn("status", F.when(F.col("problem").isNotNull(), "malformed").otherwise(F.col("status"))).withColumns({"type_name": F.col("dtype"), "decode": decode, "byte_len": F.col("end") - F.col("begin"), "start": F.col("data_start") + F.col("begin")})
+        parts.append(st.withColumn("avail_len", F.col("byte_len")).select(*names))
+    if "gguf" in formats:
+        # Tensors in the order of their offsets, each beside the next one's.
+        placed = F.array_sort(F.transform("tensors", lambda t: F.struct(t["begin"].alias("offset"), t["ord"].alias("no"), t.alias("t"))))
+        ahead = F.transform(F.slice(placed, F.lit(2), F.greatest(F.size("tensors"), F.lit(1))), lambda x: x["offset"])
+        t = sound.where("format = 'gguf'").select(*of_file, F.explode(F.arrays_zip(placed.alias("placed"), ahead.alias("next"))).alias("x")).select(*of_file, "x.placed.t.*", F.col("x.next").alias("next"))
+        gg = accounting.byte_lengths(t.withColumn("dims", F.col("shape"))).withColumn("avail_len", F.greatest(F.coalesce("next", "seg_len") - F.col("begin"), F.lit(0).cast("bigint")))
+        gg = gg.withColumns({"status": F.when(F.col("begin") > F.col("seg_len"), "out_of_bounds").otherwise("ok"), "expected": F.lit(None).cast("decimal(38,0)"), "start": F.col("data_start") + F.col("begin")})
+        parts.append(gg.select(*names))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def safetensors_findings(facts: DataFrame, tensors: DataFrame) -> DataFrame:
