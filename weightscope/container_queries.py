@@ -21,6 +21,7 @@ from weightscope.operators import drift, signature, text
 from weightscope.plans import scan
 from weightscope.queries import _V, _r, _t, _values, query
 from weightscope.sources import readers
+from weightscope.sources.tables import join_hot, stored
 
 
 def _files(rows: DataFrame, make: Callable[[dict], bytes], key: str) -> DataFrame:
@@ -273,13 +274,18 @@ def pickle_container(spark, d):
 # ---------------------------------------------------- digests and regions
 
 
+def _alike(made: DataFrame, key: str) -> DataFrame:
+    """Each artifact of a stored table and how many have its ``key``, which may be very many."""
+    return join_hot(made, made.groupBy(key).agg(F.count(F.lit(1)).alias("alike")), key, "alike").select("artifact", "alike")
+
+
 @query("SELECT doc_id::VARCHAR AS artifact, count(*) OVER (PARTITION BY coalesce(text, '')) AS alike FROM documents")
 def file_digests(spark, d):
     """BLAKE3 of whole texts; equal ones, and no others, have one digest."""
     f = _files(_t(spark, d, "documents").select("doc_id", "text"), lambda r: (r["text"] or "").encode(), "doc_id")
     ranges = f.select("artifact", F.col("artifact").alias("path"), F.lit(0).cast("bigint").alias("begin"), F.octet_length("content").cast("bigint").alias("len"), "content")
-    made = readers.range_digests(ranges, ["artifact"])
-    return made.join(made.groupBy("digest").agg(F.count(F.lit(1)).alias("alike")), "digest").select("artifact", "alike")
+    made = stored(readers.range_digests(ranges, ["artifact"]), "digests")
+    return _alike(made, "digest")
 
 
 @query("SELECT vec_id::VARCHAR AS artifact, count(*) OVER (PARTITION BY embedding, label) AS alike FROM embeddings")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weightscope.sources.tables import new_path, stored
+from weightscope.sources.tables import HOT_SHARE, join_hot, new_path, stored
 
 __all__ = ["boxed", "join_hot", "join_salted", "map_batches", "Memo", "new_path", "pieces", "short_batches", "stored"]
 
@@ -21,24 +21,6 @@ ARROW_ROWS = 512
 MEMO_ENTRIES = 300_000
 
 
-#: Keys that may each have more than one of so many parts of all rows: fewer than that many.
-HOT_SHARE = 1000
-
-
-def join_hot(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
-    """Inner join of ``left`` with ``right``, which has one row a key and in ``count`` the rows of ``left`` that have it.
-
-    A key with over one in ``HOT_SHARE`` of all rows of ``left`` is joined by
-    broadcast, so that its rows stay where they are: there are fewer than
-    ``HOT_SHARE`` such keys whatever the data. The rest is shuffled.
-    """
-    most = right.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0] // HOT_SHARE
-    hot = F.broadcast(right.where(F.col(count) > most))
-    if not most:
-        return left.join(right, key)
-    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(right.where(F.col(count) <= most), key))
-
-
 #: Parts that the rows of a hot key are dealt to.
 SALTS = 64
 
