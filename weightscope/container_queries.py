@@ -242,7 +242,7 @@ _ORD = """o AS (SELECT o_orderkey::VARCHAR AS artifact, o_orderkey % 8 AS k, 'C'
 
 
 def _pickles(spark: SparkSession, d: str) -> DataFrame:
-    return readers.facts(_files(_t(spark, d, "orders"), _pickle, "o_orderkey"))
+    return readers.facts(_files(_t(spark, d, "orders").select("o_orderkey", "o_custkey"), _pickle, "o_orderkey"))
 
 
 @query(
@@ -268,7 +268,7 @@ UNION ALL SELECT artifact, 'PICKLE_CONTAINER_UNREADABLE', 'medium' FROM o WHERE
 )
 def pickle_container(spark, d):
     """Findings on pickles and on what stands beside them."""
-    return scan.pickle_findings(_pickles(spark, d)).select("artifact", "id", "severity")
+    return scan.pickle_findings(stored(_pickles(spark, d), "facts")).select("artifact", "id", "severity")
 
 
 # ---------------------------------------------------- digests and regions

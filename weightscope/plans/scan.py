@@ -155,15 +155,15 @@ def gguf_findings(facts: DataFrame, tensors: DataFrame) -> DataFrame:
 
 
 def pickle_findings(facts: DataFrame) -> DataFrame:
-    """What pickles can do, and what stands in the file beside them."""
+    """What pickles can do, and what stands in the file beside them. ``facts`` is read several times."""
     p = facts.where("format = 'pickle' and io_error is null")
-    streams = p.select("artifact", F.explode("streams").alias("s")).select("artifact", "s.*")
+    streams = p.select("artifact", "container", "size", F.explode("streams").alias("s")).select("artifact", "container", "size", "s.*")
     refs = p.select("artifact", F.explode("refs").alias("r")).select("artifact", "r.*")
     risk = rollup.pickle_risk(streams, refs)
     empty = p.where("size(streams) = 0").select("artifact", F.lit("PICKLE_UNTRUSTED").alias("id"), F.lit("medium").alias("severity"), F.array().cast("array<string>").alias("evidence"))
     detail = F.when(F.col("id") == "PICKLE_RCE_RISK", "loading this pickle can run code").when(F.col("id") == "PICKLE_GLOBAL_REF", "it names importable objects but runs none").otherwise("a pickle is never safe by itself, though no opcode here runs code")
     risks = risk.union(empty).select("artifact", F.lit(PARSE).alias("phase"), F.lit(10).cast("bigint").alias("ord"), "id", "severity", detail.alias("detail"), "evidence")
-    cut = streams.where("truncated").join(p.select("artifact", "container", "size"), "artifact")
+    cut = streams.where("truncated")
     tail = p.where("container in ('tail', 'legacy')").withColumn("stop", F.col("size"))
     named, plain = tail.where("tail_magic is not null"), tail.where("tail_magic is null")
     entry = F.when(F.col("entry") == "", "").otherwise(F.concat("entry", F.lit(": ")))
