@@ -168,12 +168,25 @@ def severity_name(rank: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, K.SEVERITIES)), rank.cast("int") + 1)
 
 
-def human_size(n: Column) -> Column:
-    """Bytes in IEC units with one decimal."""
-    units = ("KiB", "MiB", "GiB", "TiB")
+#: Units of sizes, each 1024 of the one before.
+UNITS = ("KiB", "MiB", "GiB", "TiB")
+
+
+def human_size(n: Column, units: tuple[str, ...] = UNITS) -> Column:
+    """Bytes (a long, not negative) in IEC units with one decimal; the last of ``units`` has no end.
+
+    A size halfway between two decimals gets the even one, as C and Rust print it.
+    """
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
+    near = n.cast("double").cast("bigint")  # what a division in doubles starts from
     for k, unit in enumerate(units, 1):
-        text = F.format_string(f"%.1f {unit}", n / 1024**k)
+        one = 1024**k
+        tenths = F.pmod(near, F.lit(one)) * 10
+        down = F.shiftright(tenths, 10 * k)
+        rest = F.pmod(tenths, F.lit(one))
+        up = (rest > one // 2) | ((rest == one // 2) & (down % 2 == 1))
+        digit = down + F.when(up, 1).otherwise(0)
+        text = F.concat((F.shiftright(near, 10 * k) + F.when(digit == 10, 1).otherwise(0)).cast("string"), F.lit("."), (digit % 10).cast("string"), F.lit(f" {unit}"))
         out = out.when(n < 1024 ** (k + 1), text) if unit != units[-1] else out.otherwise(text)
     return out
 
