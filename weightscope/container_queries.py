@@ -306,7 +306,7 @@ SELECT artifact, k = 0 AS all_zero, CASE WHEN k = 1 THEN 'an ELF executable' WHE
 def region_bytes(spark, d):
     """What stands in regions that nothing claims."""
     make = lambda r: b"head" + [bytes(20), _ELF, b"PK\x03\x04" + r["c_name"].encode(), r["c_name"].encode()][r["c_custkey"] % 4]
-    f = _files(_t(spark, d, "customer"), make, "c_custkey").withColumns({"path": F.col("artifact"), "start": F.lit(4).cast("bigint"), "len": F.octet_length("content").cast("bigint") - 4})
+    f = _files(_t(spark, d, "customer").select("c_custkey", "c_name"), make, "c_custkey").withColumns({"path": F.col("artifact"), "start": F.lit(4).cast("bigint"), "len": F.octet_length("content").cast("bigint") - 4})
     return readers.look_at(f, ["artifact"]).select("artifact", "all_zero", "magic", "preview")
 
 
