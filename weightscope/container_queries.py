@@ -292,10 +292,10 @@ def file_digests(spark, d):
 def manifest_hashes(spark, d):
     """Hashes of models by names, types, shapes and contents of their tensors."""
     make = lambda r: _safetensors({"emb": ("F32", [len(r["embedding"])], struct.pack(f"<{len(r['embedding'])}f", *r["embedding"])), "lab": ("I64", [1], struct.pack("<q", r["label"]))}, {"id": str(r["vec_id"])})
-    t = _payloads(_files(_t(spark, d, "embeddings"), make, "vec_id"))
+    t = stored(_payloads(_files(_t(spark, d, "embeddings"), make, "vec_id")), "tensors")
     ranges = t.select("artifact", "name", F.col("artifact").alias("path"), F.col("start").alias("begin"), F.col("byte_len").alias("len"), "content")
-    made = scan.manifests(t, readers.range_digests(ranges, ["artifact", "name"]))
-    return made.join(made.groupBy("manifest").agg(F.count(F.lit(1)).alias("alike")), "manifest").select("artifact", "alike")
+    made = stored(scan.manifests(t, readers.range_digests(ranges, ["artifact", "name"])), "manifests")
+    return _alike(made, "manifest")
 
 
 @query(

@@ -184,21 +184,23 @@ def manifests(tensors: DataFrame, digests: DataFrame, tag: bytes = MANIFEST_TAG)
     """artifact and manifest: the model's identity by its tensors' names, types, shapes and contents alone.
 
     The hash is of ``tag``, then for each tensor by name: name, type, shape and
-    hex digest with their lengths before them. One task folds one artifact's
-    list, a row a tensor.
+    hex digest with their lengths before them. One row holds one artifact's
+    list, an entry a tensor.
     """
-    import pyarrow as pa
+    rows = tensors.select("artifact", "name", "type_name", "shape").join(digests, ["artifact", "name"])
+    listed = rows.groupBy("artifact").agg(F.array_sort(F.collect_list(F.struct("name", "type_name", "shape", "digest"))).alias("tensors"))
 
-    rows = tensors.join(digests, ["artifact", "name"]).select("artifact", "name", "type_name", "shape", "digest")
-
-    def fold(table: pa.Table) -> pa.Table:
+    def fold(listed: list[dict]) -> list[dict]:
         size = lambda b: struct.pack("<Q", len(b)) + b
-        out = [tag]
-        for r in sorted(table.to_pylist(), key=lambda r: r["name"].encode()):
-            out += [size(r["name"].encode()), size(r["type_name"].encode()), struct.pack(f"<{1 + len(r['shape'])}Q", len(r["shape"]), *r["shape"]), size(r["digest"].encode())]
-        return pa.table({"artifact": [table["artifact"][0].as_py()], "manifest": [f"blake3:{blake3.hexdigest(b''.join(out))}"]})
-
-    return rows.groupBy("artifact").applyInArrow(fold, "artifact string, manifest string")
+        texts = []
+        for row in listed:
+            out = [tag]
+            for r in row["tensors"]:
+                out += [size(r["name"].encode()), size(r["type_name"].encode()), struct.pack(f"<{1 + len(r['shape'])}Q", len(r["shape"]), *r["shape"]), size(r["digest"].encode())]
+            texts.append(b"".join(out))
+        return [{"artifact": row["artifact"], "manifest": f"blake3:{digest}"} for row, digest in zip(listed, blake3.hexdigests(texts), strict=True)]
+
+    return readers._map_runs(listed, fold, "artifact string, manifest string")
 
 
 def signatures(artifacts: DataFrame, manifest: DataFrame, bundle: str | None, key: str | None) -> DataFrame:
