@@ -213,7 +213,7 @@ def block_decode(spark, d):
 @query(f"WITH {_SUP} SELECT artifact, 'Q4_K' AS types, 5::BIGINT AS decoded FROM s WHERE k % 10 > 0 UNION ALL SELECT artifact, '', 5 FROM s WHERE k % 10 = 0")
 def deferred_types(spark, d):
     """Which sound tensors have statistics, and the types of those that have none."""
-    st = scan.tensor_statistics(_payloads(_files(_t(spark, d, "supplier").select("s_suppkey", "s_name"), _gguf, "s_suppkey"), "gguf"))
+    st = scan.tensor_statistics(stored(_payloads(_files(_t(spark, d, "supplier").select("s_suppkey", "s_name"), _gguf, "s_suppkey"), "gguf"), "tensors"))
     late = F.array_sort(F.collect_set(F.when(F.col("quality") != "full", F.col("type_name"))))
     return st.groupBy("artifact").agg(F.array_join(late, ", ").alias("types"), F.count_if((F.col("quality") == "full") & (F.col("n") == 32)).alias("decoded"))
 
