@@ -34,8 +34,9 @@ def secrets(texts: DataFrame, keys: list[str]) -> DataFrame:
 
 def first_of(found: DataFrame, keys: list[str]) -> DataFrame:
     """One row by keys, id and detail, the first by ``pos``."""
-    w = Window.partitionBy(*keys, "id", "detail").orderBy("pos")
-    return found.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "pos")
+    rest = [c for c in found.columns if c not in (*keys, "id", "detail", "pos")]
+    first = found.groupBy(*keys, "id", "detail").agg(F.min_by(F.struct(*rest), F.col("pos")).alias("_first"))
+    return first.select(*[F.col("_first")[c].alias(c) if c in rest else F.col(c) for c in found.columns if c != "pos"])
 
 
 def code_lines(texts: DataFrame, keys: list[str]) -> DataFrame:
