@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,27 +40,39 @@ def first_of(found: DataFrame, keys: list[str]) -> DataFrame:
     return first.select(*[F.col("_first")[c].alias(c) if c in rest else F.col(c) for c in found.columns if c != "pos"])
 
 
-def code_lines(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Lines of Python texts that aren't blank or comments: keys, line_no, line (no indent), module_level."""
-    lines = texts.select(*keys, F.posexplode(F.split("text", "\n")).alias("i", "raw")).withColumn("raw", F.regexp_replace("raw", "\r$", ""))
-    line = F.regexp_replace("raw", r"^\s+", "")
-    return lines.select(*keys, (F.col("i") + 1).alias("line_no"), line.alias("line"), (F.length("raw") == F.length(line)).alias("module_level")).where((F.col("line") != "") & ~F.col("line").startswith("#"))
+def code_lines(texts: DataFrame, keys: list[str], matters: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Lines of Python texts that aren't blank or comments: keys, line_no, line (no indent), module_level.
+
+    Lines of which ``matters`` is false, with indent and all, are passed over first.
+    """
+    lines = texts.select(*keys, F.posexplode(F.split("text", "\n")).alias("i", "raw"))
+    if matters:
+        lines = lines.where(matters(F.col("raw")))
+    raw = F.regexp_replace("raw", "\r$", "")
+    line = F.regexp_replace(raw, r"^\s+", "")
+    return lines.select(*keys, (F.col("i") + 1).alias("line_no"), line.alias("line"), (F.length(raw) == F.length(line)).alias("module_level")).where((F.col("line") != "") & ~F.col("line").startswith("#"))
 
 
 def may_matter(text: Column) -> Column:
-    """Can a text hold a dangerous call or something hidden? Wrong for no text that does; one look instead of one a rule."""
-    calls = r"(^|[^A-Za-z0-9_.])(?:" + "|".join(re.escape(n) for n, _ in K.PY_CALLS) + ")"
-    return text.rlike(calls) | text.contains("\\x") | text.rlike("[A-Za-z0-9+/=]{200}")
+    """Can a text hold a dangerous call or something hidden? Wrong for no text that does; one look instead of one a rule.
+
+    Patterns are tried only where a plain search or the length says that they can fit.
+    """
+    names = [n for n, _ in K.PY_CALLS]
+    calls = r"(^|[^A-Za-z0-9_.])(?:" + "|".join(map(re.escape, names)) + ")"
+    may_call = reduce(lambda a, b: a | b, map(text.contains, names))
+    run = "[A-Za-z0-9+/=]"
+    return (may_call & text.rlike(calls)) | text.contains("\\x") | ((F.octet_length(text) >= 200) & text.rlike(f"(?<!{run}){run}{{200}}"))
 
 
 def python_findings(texts: DataFrame, keys: list[str], most: int = K.MAX_PY) -> DataFrame:
     """Dangerous calls and obfuscation by line: keys, ord, id, severity, needle, line_no, evidence.
 
-    At most ``most`` rows by keys, and one more that counts the rest. Texts and
-    then lines that can't have any are passed over before the rules are looked
-    at one by one; one window numbers and counts what is found.
+    At most ``most`` rows by keys, and one more that counts the rest. Lines that
+    can't have any are passed over before the rules are looked at one by one;
+    one window numbers and counts what is found.
     """
-    lines = code_lines(texts.where(may_matter(F.col("text"))), keys).where(may_matter(F.col("line")))
+    lines = code_lines(texts, keys, may_matter)
     hits = F.filter(F.array(*[F.when(C.is_call(F.col("line"), n), F.lit(n)) for n, _ in K.PY_CALLS]), lambda x: x.isNotNull())
     hidden = C.py_obfuscation(F.col("line"))
     items = F.concat(F.transform(hits, lambda n: F.struct(F.lit("PY_DANGEROUS_CALL").alias("id"), n.alias("needle"))), F.when(hidden.isNotNull(), F.array(F.struct(F.lit("PY_OBFUSCATION").alias("id"), hidden.alias("needle")))).otherwise(F.array().cast("array<struct<id: string, needle: string>>")))
