@@ -6,10 +6,9 @@ find in it, and what its values decode to, follows from the row.
 
 from __future__ import annotations
 
-import io
 import json
 import struct
-import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +23,11 @@ from weightscope.sources import readers
 from weightscope.sources.tables import join_hot, stored
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out to all tasks by ``key``."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _files(rows: DataFrame, make: Callable[[dict], bytes], key: str) -> DataFrame:
     """``artifact`` (the key as text) and ``content`` of a file for each row.
 
@@ -33,8 +37,7 @@ def _files(rows: DataFrame, make: Callable[[dict], bytes], key: str) -> DataFram
     def work(row: dict) -> Iterator[dict]:
         yield {"artifact": str(row[key]), "content": make(row)}
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return readers._map_rows(rows.repartition(n, key), work, "artifact string, content binary")
+    return readers._map_rows(_spread(rows, key), work, "artifact string, content binary")
 
 
 def _tensors(files: DataFrame, kind: str = "safetensors") -> DataFrame:
@@ -223,26 +226,46 @@ def deferred_types(spark, d):
 _ELF = b"\x7fELF" + b"p" * 20
 
 
+def _zip_of_one(name: str, body: bytes) -> bytes:
+    """A zip with one short deflated member, as ``zipfile`` writes it but for the time, which is 1980."""
+    deflate = zlib.compressobj(-1, zlib.DEFLATED, -9, 1)  # no more memory than short bodies need
+    packed = deflate.compress(body) + deflate.flush()
+    path = name.encode()
+    known = struct.pack("<4H3L2H", 0, 8, 0, 33, zlib.crc32(body), len(packed), len(body), len(path), 0)
+    local = struct.pack("<4sH", b"PK\3\4", 20) + known + path
+    central = struct.pack("<4s2BH", b"PK\1\2", 20, 3, 20) + known + struct.pack("<3H2L", 0, 0, 0, 0o600 << 16, 0) + path
+    return local + packed + central + struct.pack("<4s4H2LH", b"PK\5\6", 0, 0, 1, 1, len(central), len(local) + len(packed), 0)
+
+
 def _pickle(row: dict) -> bytes:
     k = row["o_orderkey"] % 8
-    name = f"C{row['o_custkey']}"
-    old = b"\x80\x02c" + f"os\n{name}\n".encode()
-    new = b"\x80\x04\x8c\x07pathlib\x8c" + bytes([len(name)]) + name.encode() + b"\x93"
+    if k == 0:
+        return b"\x80\x02]q\x00."
     if k == 6:
         return b"PK\x03\x04" + b"junk" * 9
-    if k == 7:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr("a/data.pkl" if row["o_custkey"] % 2 else "a/data.txt", new + b".")
-        return out.getvalue()
-    return {0: b"\x80\x02]q\x00.", 1: old + b"U\x02id\x85R.", 2: new + b".", 3: old + b"." + new + b".", 4: new + b"." + _ELF, 5: old + b"U\x02id\x85R"}[k]
+    name = f"C{row['o_custkey']}".encode()
+    old = b"\x80\x02cos\n%b\n" % name
+    if k == 1:
+        return old + b"U\x02id\x85R."
+    if k == 5:
+        return old + b"U\x02id\x85R"
+    new = b"\x80\x04\x8c\x07pathlib\x8c%c%b\x93." % (len(name), name)
+    if k == 2:
+        return new
+    if k == 3:
+        return old + b"." + new
+    if k == 4:
+        return new + _ELF
+    return _zip_of_one("a/data.pkl" if row["o_custkey"] % 2 else "a/data.txt", new)
 
 
 _ORD = """o AS (SELECT o_orderkey::VARCHAR AS artifact, o_orderkey % 8 AS k, 'C' || o_custkey AS c, o_custkey % 2 AS odd FROM orders)"""
 
 
-def _pickles(spark: SparkSession, d: str) -> DataFrame:
-    return readers.facts(_files(_t(spark, d, "orders").select("o_orderkey", "o_custkey"), _pickle, "o_orderkey"))
+def _pickles(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    """The facts ``names`` of a pickle for each order."""
+    rows = _spread(_t(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    return readers.facts_of(rows, lambda row: {"artifact": str(row["o_orderkey"]), "content": _pickle(row)}, *names)
 
 
 @query(
@@ -253,7 +276,7 @@ def _pickles(spark: SparkSession, d: str) -> DataFrame:
 )
 def pickle_streams(spark, d):
     """Opcodes, references and containers of pickles."""
-    f = _pickles(spark, d)
+    f = _pickles(spark, d, "artifact", "container", "streams", "refs", "tail_len", "tail_magic")
     listed = F.array_join(F.transform("refs", lambda r: F.concat(r["opcode"], F.lit(" "), r["module"], F.lit("."), r["name"])), ",")
     ops = F.array_join(F.flatten(F.transform("streams", lambda x: x["exec_ops"])), ",")
     whole = F.when(~F.col("container").isin("truncated", "zip", "no_pickle", "unreadable"), F.col("tail_len"))
@@ -268,7 +291,8 @@ UNION ALL SELECT artifact, 'PICKLE_CONTAINER_UNREADABLE', 'medium' FROM o WHERE
 )
 def pickle_container(spark, d):
     """Findings on pickles and on what stands beside them."""
-    return scan.pickle_findings(stored(_pickles(spark, d), "facts")).select("artifact", "id", "severity")
+    f = _pickles(spark, d, "artifact", "format", "size", "io_error", "container", "detail", "tail_at", "tail_len", "tail_magic", "tail_preview", "streams", "refs")
+    return scan.pickle_findings(stored(f, "facts")).select("artifact", "id", "severity")
 
 
 # ---------------------------------------------------- digests and regions
